@@ -1,0 +1 @@
+"""Functions on single values: tokens, hashes, and text clean-up."""

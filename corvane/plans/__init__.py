@@ -1,0 +1 @@
+"""Tasks, systems and the registered queries."""

@@ -1,0 +1 @@
+"""Sources: files and tasks to DataFrames."""

@@ -1,0 +1 @@
+"""Incremental and resumable variants on Structured Streaming."""
