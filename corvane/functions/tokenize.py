@@ -47,6 +47,13 @@ def _char_class(chars: tuple[str, ...]) -> str:
     return "".join("\\" + c if not c.isalnum() and c != "_" and ord(c) < 128 else c for c in chars)
 
 
+@cache
+def _compiled(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
 @REGISTRY.register("tokenizer", "simple", "maximal runs of letters, digits and kept characters", SimpleConfig)
 def simple(config: SimpleConfig) -> Tokenizer:
     kept = _char_class(config.keep)
@@ -56,14 +63,8 @@ def simple(config: SimpleConfig) -> Tokenizer:
         found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)
         return found if config.min_len <= 1 else F.filter(found, lambda t: F.octet_length(t) >= config.min_len)
 
-    @cache
-    def compiled():
-        import regex
-
-        return regex.compile(rf"[\p{{Alphabetic}}\p{{N}}{kept}]+")
-
     def split(text: str) -> list[str]:
-        return [t for t in compiled().findall(text) if len(t.encode()) >= config.min_len]
+        return [t for t in _compiled(rf"[\p{{Alphabetic}}\p{{N}}{kept}]+").findall(text) if len(t.encode()) >= config.min_len]
 
     return Tokenizer("simple", terms, split)
 

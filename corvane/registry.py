@@ -21,11 +21,11 @@ def json_schema(config: type) -> dict[str, Any]:
     for f in dataclasses.fields(config):
         t = hints[f.name]
         origin = typing.get_origin(t)
-        props[f.name] = {"type": "array" if origin in (list, tuple) else _TYPES.get(t, "object" if origin is dict else "string")}
+        props[f.name] = {"type": "array" if origin in (list, tuple) else _TYPES.get(t, "object" if origin is dict or dataclasses.is_dataclass(t) else "string")}
         if f.default is dataclasses.MISSING and f.default_factory is dataclasses.MISSING:
             required.append(f.name)
         elif f.default is not dataclasses.MISSING:
-            props[f.name]["default"] = f.default
+            props[f.name]["default"] = dataclasses.asdict(f.default) if dataclasses.is_dataclass(f.default) else f.default
     return {"type": "object", "properties": props, "required": required, "additionalProperties": False}
 
 
@@ -47,6 +47,8 @@ def parse_config(config: type, given: Any) -> Any:
             v = float(v)
         if typing.get_origin(t) is tuple and isinstance(v, list):
             v = tuple(v)
+        if dataclasses.is_dataclass(t) and not dataclasses.is_dataclass(v):
+            v = parse_config(t, v)
         plain = t if isinstance(t, type) else None
         if plain in _TYPES and (not isinstance(v, plain) or plain is int and isinstance(v, bool)):
             raise ConfigError(f"{config.__name__}.{k}: {_TYPES[plain]} expected, got {v!r}")
