@@ -42,9 +42,14 @@ SEVERE = frozenset(
 )
 SECOND = frozenset("you your yours yourself youre u ur du dich dir dein deine ihr euch tu toi te ton ta tes vous votre vos tú ti usted ustedes vosotros tus".split())
 _CLEAN = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord(c): " " for c in "«»¡¿…–—“”„’‘"}
-_DISGUISED = re.compile(r"[a-z]+(?:[0-9@$!*_]+[a-z]+)+|\b(?:[a-z][.\-_* ]){3,}[a-z]\b")
+#: Starts are few and repeats possessive or bounded, so that no text costs more than its length.
+_DISGUISED = re.compile(
+    r"(?<![a-z0-9])(?:[0-9@$!]?[a-z]++(?:[0-9@$!*_]++[a-z]++)+|[0-9@$!][a-z]{3,20}(?![a-z]))|(?<![a-z][.\-_* ])\b(?:[a-z][.\-_* ]){3,40}[a-z]\b"
+)
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _DROP = str.maketrans("", "", ".-_* ")
+#: Lexicon words with one inner letter blotted out.
+_BLOTTED = frozenset(w[:i] + "*" + w[i + 1 :] for w in INSULTS for i in range(1, len(w) - 1))
 FEATURES = (
     "n_hits hits_density distinct_hits max_in_20 severe_density second_density near_second caps_rate caps_words "
     "exclaim_rate question_rate punct_rate disguised_rate disguised_hits log_words"
@@ -62,7 +67,7 @@ def features(text: str | None) -> list[float]:
     for m in _DISGUISED.findall(low):
         disguised += 1
         plain = m.translate(_LEET)
-        hidden += plain.translate(_DROP) in INSULTS or m.translate(_DROP) in INSULTS
+        hidden += plain.translate(_DROP) in INSULTS or m.translate(_DROP) in INSULTS or m.replace("_", "*") in _BLOTTED
     second = sum(x in SECOND for x in w) if hits or hidden else 0
     near = sum(any(x in SECOND for x in w[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
     crowd = 0
