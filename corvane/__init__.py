@@ -1,0 +1,29 @@
+"""Retrieval analytics and training-data operators on PySpark.
+
+The names below are the surface for applications; each takes DataFrames and returns one.
+"""
+
+from . import components
+from .errors import ConfigError, EngineError, RetryableError
+from .operators.bm25 import index as bm25_index
+from .operators.bm25 import index_chunks as bm25_index_chunks
+from .operators.bm25 import search as bm25_search
+from .operators.bm25 import search_index as bm25_search_index
+from .operators.chunk import chunk
+from .operators.dense import search as flat_search
+from .operators.embed import embed
+from .operators.fuse import rrf
+from .operators.judge import rerank_lexical, rerank_with, verify_coverage, verify_with
+from .operators.transform import apply as transform
+from .operators.transform import rm3
+from .plans.runner import run
+from .plans.systems import SYSTEMS
+from .plans.task import Task
+from .registry import REGISTRY, catalogue
+from .sources.readers import from_lists, ingest, read_file
+
+__all__ = [
+    "REGISTRY", "SYSTEMS", "ConfigError", "EngineError", "RetryableError", "Task", "bm25_index", "bm25_index_chunks", "bm25_search",
+    "bm25_search_index", "catalogue", "chunk", "components", "embed", "flat_search", "from_lists", "ingest", "read_file",
+    "rerank_lexical", "rerank_with", "rm3", "rrf", "run", "transform", "verify_coverage", "verify_with",
+]

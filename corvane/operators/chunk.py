@@ -204,7 +204,8 @@ def chunk(docs: DataFrame, name: str = "fixed", config: dict | None = None, id_c
     plain = F.octet_length("__text") == F.length("__text")
 
     def rows(part: DataFrame, made: Column) -> DataFrame:
-        return part.select(F.col(id_col), F.explode(made).alias("c")).select(id_col, "c.*")
+        # the plain explode would add a filter that makes the chunks a second time
+        return part.select(F.col(id_col), F.explode_outer(made).alias("c")).where("c is not null").select(id_col, "c.*")
 
     if chunker.ascii:
         out = rows(d.where(plain), chunker.ascii(F.col("__text"))).unionByName(rows(d.where(~plain), _udf(chunker, F.col("__text"))))

@@ -75,7 +75,7 @@ def tokenize_counts(spark, d):
     # distinct terms within a text go first, so that a frequent term is not shuffled for each occurrence
     per = t.select(F.size("terms").cast("long").alias("n"), F.array_distinct("terms").alias("u"))
     a = per.agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
-    return a.join(F.broadcast(per.select(F.explode("u").alias("t")).agg(F.count_distinct("t").alias("n_terms"))))
+    return a.join(F.broadcast(per.select(F.explode_outer("u").alias("t")).agg(F.count_distinct("t").alias("n_terms"))))
 
 
 @query("term_df", f"WITH {_index_sql()} SELECT term, df FROM df")

@@ -106,7 +106,7 @@ def searchtome(spark: SparkSession, root: str, split: str = "test", name: str =
             rows.append(out)
         return pd.Series(rows)
 
-    docs = toc.select("book", F.explode(leaves("book", "value")).alias("d")).select(
+    docs = toc.select("book", F.explode_outer(leaves("book", "value")).alias("d")).where("d is not null").select(
         "d.doc_id", "d.text", "d.title", F.create_map(F.lit("scope"), "book", F.lit("path"), "d.path", F.lit("depth"), F.col("d.depth").cast("string")).alias("meta")
     )
     q = spark.read.schema("qid string, query string, gold_docid string, gold_number string").json(f"{root}/*/{split}.jsonl")

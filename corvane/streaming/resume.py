@@ -32,7 +32,7 @@ def answer_stream(spark: SparkSession, queries_dir: str, out_dir: str, checkpoin
 def term_frequencies(docs: DataFrame, tokenizer: str = "simple") -> DataFrame:
     """term, df over a stream of documents, for ``update`` or ``complete`` output."""
     tok = tokenize.build(tokenizer)
-    return docs.select(F.explode(F.array_distinct(tok.lowered(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return docs.select(F.explode_outer(F.array_distinct(tok.lowered(F.col("text")))).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def event_windows(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
