@@ -35,6 +35,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> bool:
+    """Delete all tables that ``stored`` wrote below the session's shared folder, once results are read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/corvane")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

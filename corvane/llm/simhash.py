@@ -6,7 +6,8 @@ them. Texts whose first sampled bits agree form a bucket, which is a run of that
 the order continues with the further bits, a bucket larger than ``NEAR`` texts is cut by
 additional bits: each text meets the ``NEAR`` texts before it, those that share most bits. An
 order can be cut anywhere, so neither a large bucket nor a large group of copies becomes one
-task, and no pairs of a whole group are formed.
+task, and no pairs of a whole group are formed. (The first texts after a cut meet fewer; cuts
+fall elsewhere in other tables.)
 
 Candidates within ``DISTANCE`` bits are linked, closest first. The Jaccard similarity of the
 shingle sets decides: first each text's closest link is verified, then every remaining link
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WORDS, SIMILARITY = 5, 0.8
-BITS, TABLES, NEAR = 256, 24, 128
+BITS, TABLES, NEAR = 256, 32, 160
 #: Of two sets with similarity 0.8 about 39 bits differ, with a deviation of 6.
 DISTANCE = 58
 MAX_BROADCAST = 500_000  # keys of 16 bytes
