@@ -98,9 +98,12 @@ def sentence_words(text: Column) -> Column:
     return F.flatten(F.sentences(F.coalesce(text, F.lit(""))))
 
 
+_WORD = re.compile(r"\w+")
+
+
 def folded_words(text: str) -> list[str]:
     """Lower-cased before splitting at non-word characters."""
-    return re.findall(r"\w+", text.lower())
+    return _WORD.findall(text.lower())
 
 
 def build(spec: str | dict) -> Tokenizer:

@@ -48,7 +48,7 @@ class FixedConfig:
 class RecursiveConfig:
     size: int = 1024
     overlap: int = 0
-    separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")
+    separators: tuple[str, ...] = tuple("\n\n|\n|. | ".split("|"))
 
     def __post_init__(self) -> None:
         _check(self.size, self.overlap)

@@ -13,7 +13,7 @@ from .. import providers as P
 from ..errors import ConfigError
 from ..functions import tokenize
 from ..registry import REGISTRY
-from .bm25 import Bm25Config, weight
+from .bm25 import Bm25Config, idf, weight
 
 
 @dataclass(frozen=True)
@@ -33,14 +33,14 @@ class CoverageConfig:
 
 
 @dataclass(frozen=True)
-class JevConfig:
+class TypedConfig:
     model: str = "judge"
     endpoint: str = "https://localhost/v1/judge"
     api_key_env: str = "JUDGE_API_KEY"
     max_chars: int = 1200
     requests_per_minute: float = 0.0
     timeout_secs: float = 60.0
-    cache: str = "jev"
+    cache: str = "judge"
     retry: P.RetryPolicy = P.RetryPolicy()
 
     def __post_init__(self) -> None:
@@ -72,7 +72,7 @@ def rerank_lexical(shortlist: DataFrame, config: dict | None = None) -> DataFram
     tf = own.groupBy("qid", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("n").alias("n"), F.first("avg").alias("avg"))
     tf = tf.withColumn("df", F.count("*").over(W.partitionBy("qid", "term")))
     q = shortlist.select("qid", "query").distinct().select("qid", F.explode(tok.lowered(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    term_idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    term_idf = idf(F.col("n"), F.col("df"))
     score = F.sum(F.col("qtf") * term_idf * weight(F.col("tf"), F.col("dl"), F.col("avg"), c.k1, c.b)).alias("score")
     scored = tf.join(q, ["qid", "term"]).groupBy("qid", "doc_id").agg(score)
     keep = [x for x in shortlist.columns if x != "score"]
@@ -94,7 +94,7 @@ def lexical_scores(query: str, candidates: list[str], config: dict | None = None
             t = t.lower()
             df, tf = sum(t in x for x in docs), d.count(t)
             if tf:
-                s += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (c.k1 + 1) / (tf + c.k1 * (1 - c.b + c.b * len(d) / avg))
+                s += math.log((n + 1) / (df + 0.5)) * tf * (c.k1 + 1) / (tf + c.k1 * (1 - c.b + c.b * len(d) / avg))
         out.append(s)
     return out
 
@@ -142,10 +142,10 @@ def promote(ranked: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Jev:
+class TypedJudge:
     """A judge that answers typed questions about a state, in one request for each call."""
 
-    config: JevConfig
+    config: TypedConfig
     http: P.HttpPost | None = None
     key: str | None = None
 
@@ -168,14 +168,14 @@ class Jev:
             return "insufficient", 1.0, 0
         state = {"question": query, "evidence": [x[: self.config.max_chars] for x in evidence]}
         criteria = {"supports": "all passages together give an answer", "refutes": "together they contradict what is asked", "insufficient": "something is missing or they disagree"}
-        ask = {"verdict": {"type": "choice", "instructions": "Judge the passages as one set: is the question answered?", "criteria": criteria}}
-        v = self._ask(state, ask).get("verdict") or {}
+        question = dict(type="choice", instructions="Judge the passages as one set: is the question answered?", criteria=criteria)
+        v = self._ask(state, dict(verdict=question)).get("verdict") or {}
         choice = v.get("choice") if v.get("choice") in ("supports", "refutes") else "insufficient"
         return choice, float(v.get("confidence") or 0.0), len(evidence)
 
 
-REGISTRY.register("reranker", "jev", "probabilities from a typed HTTP judge", JevConfig)(Jev)
-REGISTRY.register("verifier", "jev", "one verdict on the whole evidence from a typed HTTP judge", JevConfig)(Jev)
+REGISTRY.register("reranker", "typed", "probabilities from a typed HTTP judge", TypedConfig)(TypedJudge)
+REGISTRY.register("verifier", "typed", "one verdict on the whole evidence from a typed HTTP judge", TypedConfig)(TypedJudge)
 
 
 def rerank_with(shortlist: DataFrame, reranker) -> DataFrame:

@@ -7,7 +7,6 @@ latency_s, error. Qrels: qid, gold array<string>.
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable, Mapping, Sequence
 from functools import partial
 
@@ -44,7 +43,7 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "hit@1": partial(hit_at, k=1),
     "hit@5": partial(hit_at, k=5),
 }
-DEFAULT = ("recall@1", "recall@5", "ndcg@10", "mrr", "hit@5")
+DEFAULT = tuple("recall@1 recall@5 ndcg@10 mrr hit@5".split())
 
 
 def ranked_lists(hits: DataFrame, qid: str = "qid", id_col: str = "doc_id") -> DataFrame:
@@ -136,20 +135,22 @@ def randomization_test(a: Mapping[str, float], b: Mapping[str, float], n_samples
     The stream of random numbers is drawn in the order of samples and sorted shared ids, so the
     p-values can be compared with published ones.
     """
+    from random import Random
+
     import numpy as np
 
     ids = sorted(set(a) & set(b))
     if not ids:
-        return {"n": 0, "p_value": 1.0, "diff": 0.0}
+        return dict.fromkeys(("p_value",), 1.0) | {"n": 0, "diff": 0.0}
     d = np.array([b[q] - a[q] for q in ids])
     observed = float(sum(d.tolist()) / len(d))
-    rng = random.Random(seed)
-    hits = 0
+    draw, extreme = Random(seed).random, 0
     for _ in range(n_samples):
-        signs = np.array([rng.random() for _ in range(len(d))]) < 0.5
+        signs = np.array([draw() for _ in d]) < 0.5
         s = float(np.where(signs, d, -d).sum())
-        hits += abs(s / len(d)) >= abs(observed) - 1e-12
-    return {"n": len(ids), "mean_a": sum(a[q] for q in ids) / len(ids), "mean_b": sum(b[q] for q in ids) / len(ids), "diff": observed, "p_value": (hits + 1) / (n_samples + 1), "n_samples": n_samples}
+        extreme += abs(s / len(d)) >= abs(observed) - 1e-12
+    means = {f"mean_{name}": sum(map(m.__getitem__, ids)) / len(ids) for name, m in (("a", a), ("b", b))}
+    return means | dict(n=len(ids), n_samples=n_samples, diff=observed, p_value=(extreme + 1) / (n_samples + 1))
 
 
 def randomization_test_distributed(a: DataFrame, b: DataFrame, n_samples: int = 10_000, seed: int = 42) -> DataFrame:

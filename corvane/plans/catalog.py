@@ -62,11 +62,11 @@ st AS (SELECT count(*) AS n, greatest(sum(dl) * 1.0 / count(*), 1.0) AS avg FROM
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
 
 
-def _search_sql(name: str, k: int, k1: float = 1.2, b: float = 0.75, pattern: str = _RE, min_len: int = 1) -> str:
+def _search_sql(name: str, top: int, grow: float = 1.2, norm: float = 0.75, pattern: str = _RE, min_len: int = 1) -> str:
     return f"""{name}_q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({_terms("text", pattern, min_len)}) AS term FROM benchmark) GROUP BY ALL),
-{name}_s AS (SELECT qid, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avg))), 6) AS score
+{name}_s AS (SELECT qid, doc_id, round(sum(qtf * ln((n + 1) / (df + 0.5)) * (tf * ({grow} + 1)) / (tf + {grow} * (1 - {norm} + {norm} * dl / avg))), 6) AS score
   FROM {name}_q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY qid, doc_id),
-{name} AS (SELECT qid, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= {k})"""
+{name} AS (SELECT qid, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= {top})"""
 
 
 @query("tokenize_counts", f"WITH {_index_sql()} SELECT (SELECT count(*) FROM toks) AS n_docs, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM occ")
@@ -127,7 +127,7 @@ _PLAIN = r"[\p{L}\p{N}]+"
 
 @query("bm25_min_len", f"WITH {_index_sql(_PLAIN, 3)}, {_search_sql('r', 10, pattern=_PLAIN, min_len=3)} SELECT * FROM r")
 def bm25_min_len(spark, d):
-    return bm25.search(docs(spark, d), items(spark, d), 10, {"tokenizer": {"name": "simple", "config": {"min_len": 3, "keep": []}}})
+    return bm25.search(docs(spark, d), items(spark, d), 10, {"tokenizer": dict(name="simple", config=dict(min_len=3, keep=[]))})
 
 
 @query("bm25_index_search", f"WITH {_index_sql()}, {_search_sql('r', 10)} SELECT * FROM r")
@@ -199,7 +199,7 @@ c AS (SELECT qid, r.rank AS first_rank, doc_id, toks.terms FROM r JOIN toks USIN
 cs AS (SELECT qid, count(*) AS n, greatest(sum(len(terms)) * 1.0 / count(*), 1.0) AS avg FROM c GROUP BY qid),
 ct AS (SELECT qid, doc_id, term, count(*) AS tf FROM (SELECT qid, doc_id, unnest(terms) AS term FROM c) GROUP BY ALL),
 cd AS (SELECT qid, term, count(*) AS df FROM ct GROUP BY ALL),
-x AS (SELECT qid, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(terms) / avg))) AS s
+x AS (SELECT qid, doc_id, sum(qtf * ln((n + 1) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(terms) / avg))) AS s
   FROM ct JOIN cd USING (qid, term) JOIN r_q USING (qid, term) JOIN cs USING (qid) JOIN c USING (qid, doc_id) GROUP BY qid, doc_id),
 y AS (SELECT qid, doc_id, first_rank, round(coalesce(s, 0), 6) AS score FROM c LEFT JOIN x USING (qid, doc_id))
 SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, first_rank))::INT AS rank, doc_id, score FROM y""",

@@ -43,15 +43,17 @@ def naive(k: int = 10, encoder=ENCODER) -> System:
     return System("naive", lambda t, q: records(dense_hits(t, q, k, encoder), q))
 
 
-def lexical(k: int = 10, config: dict | None = None) -> System:
+def lexical(config: dict | None = None, k: int = 10) -> System:
+    """BM25 alone."""
     return System("bm25", lambda t, q: records(bm25.search(t.titled(), q, k, config), q))
 
 
 def bm25_system(k: int = 10, tokenizer: str = "simple") -> System:
-    return lexical(k, {"tokenizer": tokenizer})
+    return lexical({"tokenizer": tokenizer}, k)
 
 
-def hashed(k: int = 10, config: dict | None = None) -> System:
+def hashed(config: dict | None = None, k: int = 10) -> System:
+    """Hashing vectors alone."""
     return System("hashing", lambda t, q: records(dense_hits(t, q, k, ("hashing", config or {"dim": 256})), q))
 
 
@@ -102,7 +104,7 @@ def query_rewrite(k: int = 10, name: str = "rm3", config: dict | None = None, tr
     return System(f"query_rewrite_{name}", answer)
 
 
-def sure(k: int = 10, n_evidence: int = 5, min_confidence: float = 0.0, verifier: str | object = "coverage", reranker: str | object | None = "lexical", encoder=ENCODER) -> System:
+def sure(verifier: str | object = "coverage", reranker: str | object | None = "lexical", min_confidence: float = 0.0, n_evidence: int = 5, k: int = 10, encoder=ENCODER) -> System:
     """Dense hits, one verdict over the first ``n_evidence``, those reranked and promoted, or abstention."""
 
     def answer(t: Task, q: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import dataclasses
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -14,12 +14,12 @@ DOCS = "doc_id string, text string, title string, meta map<string,string>"
 QUERIES = "qid string, text string, gold array<string>, answer string, answerable boolean, scope string, meta map<string,string>"
 
 
-@dataclass(frozen=True)
+@dataclasses.dataclass(frozen=True)
 class Task:
     name: str
     docs: DataFrame
     queries: DataFrame
-    meta: dict[str, Any] = field(default_factory=dict)
+    meta: dict[str, Any] = dataclasses.field(default_factory=dict)
 
     def qrels(self) -> DataFrame:
         return self.queries.select("qid", "gold")

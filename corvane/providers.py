@@ -224,7 +224,8 @@ class Chat:
         http = self.http or transport(c.cache or None, c.requests_per_minute, HttpClient(c.timeout_secs))
         last: ProviderError = ProviderError("invalid", "no models")
         for model in c.models:
-            payload = {"model": model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "max_tokens": c.max_tokens, "temperature": c.temperature}
+            turns = [dict(zip(("role", "content"), t, strict=True)) for t in (("system", system), ("user", user))]
+            payload = {"model": model, "messages": turns} | {k: getattr(c, k) for k in ("max_tokens", "temperature")}
             if c.disable_reasoning:
                 payload["reasoning"] = {"enabled": False}
             try:

@@ -16,7 +16,7 @@ HOTPOT = (
 )
 
 
-def hotpot(raw: DataFrame, name: str = "multi-hop", unanswerable_frac: float = 0.0, per_question_scope: bool = False, seed: int = 42, order: str = "id") -> Task:
+def hotpot(raw: DataFrame, name: str = "multi-hop", order: str = "id", seed: int = 42, per_question_scope: bool = False, unanswerable_frac: float = 0.0) -> Task:
     """A task from rows of HOTPOT. Paragraphs of one title are one document, the first one in ``order`` wins."""
     did = F.concat(F.lit("wiki::"), F.replace("title", F.lit(" "), F.lit("_")))
     p = raw.select(F.col(order).alias("o"), "id", F.posexplode(F.arrays_zip("context.title", "context.sentences")).alias("at", "p"))
@@ -74,7 +74,7 @@ def choose_unanswerable(queries: list[tuple[str, frozenset[str]]], frac: float,
     return out
 
 
-def searchtome(spark: SparkSession, root: str, split: str = "test", name: str = "books") -> Task:
+def books(spark: SparkSession, root: str, split: str = "test", name: str = "books") -> Task:
     """A task from ``<book>/toc.json`` trees and ``<book>/<split>.jsonl`` queries.
 
     Every node with a text is a document ``book::label``; gold that is in no tree makes a query
@@ -91,8 +91,8 @@ def searchtome(spark: SparkSession, root: str, split: str = "test", name: str =
         def walk(node: dict, own: str, path: list[str], depth: int, out: list) -> None:
             label = str(node.get("number") or node.get("title") or "")
             here = [*path, str(node.get("title") or "")] if node.get("title") else path
-            body = node.get("content") or node.get("text")
-            if isinstance(body, str) and body.strip():
+            body = next((node[x] for x in ("content", "text") if isinstance(node.get(x), str)), "")
+            if body.strip():
                 out.append({"doc_id": f"{own}::{label}", "text": body, "title": node.get("title"), "path": " > ".join(here), "depth": depth})
             for c in node.get("children") or []:
                 walk(c, own, here, depth + 1, out)
