@@ -43,7 +43,7 @@ def naive(k: int = 10, encoder=ENCODER) -> System:
     return System("naive", lambda t, q: records(dense_hits(t, q, k, encoder), q))
 
 
-def lexical(config: dict | None = None, k: int = 10) -> System:
+def lexical(config=None, k: int = 10) -> System:
     """BM25 alone."""
     return System("bm25", lambda t, q: records(bm25.search(t.titled(), q, k, config), q))
 
@@ -52,7 +52,7 @@ def bm25_system(k: int = 10, tokenizer: str = "simple") -> System:
     return lexical({"tokenizer": tokenizer}, k)
 
 
-def hashed(config: dict | None = None, k: int = 10) -> System:
+def hashed(config=None, k: int = 10) -> System:
     """Hashing vectors alone."""
     return System("hashing", lambda t, q: records(dense_hits(t, q, k, ("hashing", config or {"dim": 256})), q))
 
