@@ -54,10 +54,9 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         every = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         texts = sorted({p for p in every if 0 < len(p) <= PIECE_LEN})
-        h = np.array([self.hash(p) for p in texts], "uint64")
-        order = np.argsort(h)
-        self.hashes, self.ids = h[order], order.astype("int32")
         self.n = len(texts)  # id n: an unknown sign; n + 1: no piece
+        self.hashes, self.ids = np.array([self.hash(p) for p in texts], "uint64"), np.arange(self.n, dtype="int32")
+        self.tables = _place(self.hashes, self.ids)
 
     @staticmethod
     def hash(p: str) -> np.uint64:
@@ -67,9 +66,42 @@ class Pieces:
                 h = h * _BASE + np.uint64(ord(c) + 1)
         return h
 
+    def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, ids) of the hashes that are pieces, from one table after the other."""
+        for mult, keys, ids in self.tables:
+            slot = (h * mult) >> _SHIFT
+            at = np.flatnonzero(keys[slot] == h)
+            yield at, ids[slot[at]]
+
     def find(self, h: np.ndarray, length: int) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], self.n if length == 1 else self.n + 1)
+        """The id of each hash."""
+        out = np.full(len(h), self.n if length == 1 else self.n + 1, "int32")
+        for at, ids in self.hits(h):
+            out[at] = ids
+        return out
+
+
+_SLOT_BITS = 19
+_SHIFT = np.uint64(64 - _SLOT_BITS)
+
+
+def _place(hashes: np.ndarray, ids: np.ndarray) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
+    """Hash tables without chains: what finds its slot taken goes to a further table."""
+    out, mult = [], 0x9E3779B97F4A7C15
+    while len(hashes):
+        slot = (hashes * np.uint64(mult)) >> _SHIFT
+        _, first = np.unique(slot, return_index=True)
+        # a free slot holds a hash that belongs to another slot, so that nothing matches there
+        keys, own = np.full(1 << _SLOT_BITS, np.uint64(0)), np.zeros(1 << _SLOT_BITS, "int32")
+        keys[0] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        keys[slot[first]], own[slot[first]] = hashes[first], ids[first]
+        out.append((np.uint64(mult), keys, own))
+        rest = np.ones(len(hashes), bool)
+        rest[first] = False
+        hashes, ids = hashes[rest], ids[rest]
+        mult = (mult * 0xD1342543DE82EF95 + 2) | 1
+        mult &= 0xFFFFFFFFFFFFFFFF
+    return out
 
 
 def _prefix(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +133,7 @@ def forward(pieces: Pieces, probs: np.ndarray, batch: list[str]) -> np.ndarray:
     order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
     at = 0
     while at < len(order):
-        longest = 2 * len(batch[order[at]]) + 8  # words of similar length together, about 1M signs at once
+        longest = len(batch[order[at]]) * 5 // 4 + 2  # words of similar length together, about 1M signs at once
         end = at + 1
         while end < len(order) and len(batch[order[end]]) <= longest and (end - at) * len(batch[order[end]]) < 1_000_000:
             end += 1
@@ -118,11 +150,21 @@ def _forward(pieces: Pieces, probs: np.ndarray, batch: list[str]) -> np.ndarray:
     window[0] = 1
     shift = np.zeros((n, g))
     out = np.zeros((n, g))
+    known = np.zeros(n, bool)
     for i in range(1, h.shape[1]):
         new = np.zeros((n, g))
         for k in range(1, min(PIECE_LEN, i) + 1):
-            ids = pieces.find(h[:, i] - h[:, i - k] * _POW[k], k)
-            new += window[(i - k) % PIECE_LEN] * probs[ids]
+            before = window[(i - k) % PIECE_LEN]
+            seen = 0
+            for rows, ids in pieces.hits(h[:, i] - h[:, i - k] * _POW[k]):
+                new[rows] += before[rows] * probs[ids]
+                seen += len(rows)
+                if k == 1:
+                    known[rows] = True
+            if k == 1 and seen < n:
+                new[~known] += before[~known] * probs[pieces.n]
+            if k == 1:
+                known[:] = False
         window[i % PIECE_LEN] = new
         ends = size == i
         if ends.any():
@@ -225,14 +267,17 @@ class Scorer:
                 size += len(texts[end])
                 end += 1
             parts = [words(t) for t in texts[at:end]]
-            new = {w for p in parts for w in p if w not in self.known}
+            found = [list(map(self.known.get, p)) for p in parts]
+            new = {w for p, f in zip(parts, found, strict=True) if None in f for w, i in zip(p, f, strict=True) if i is None}
             if new:
                 if len(self.known) + len(new) > CACHE:
                     self.known.clear()
                     new = {w for p in parts for w in p}
+                    found = [[None]] * len(parts)
                 self.learn(list(new))
-            for i, p in enumerate(parts):
-                out[at + i] = self.rows[[self.known[w] for w in p]].sum(0) if p else 0
+                found = [list(map(self.known.get, p)) if None in f else f for p, f in zip(parts, found, strict=True)]
+            for i, f in enumerate(found):
+                out[at + i] = self.rows[np.array(f, "int64")].sum(0) if f else 0
             at = end
         return out
 
