@@ -35,6 +35,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
+def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInPandas`` with batches of at most ``BATCH_ROWS`` rows.
+
+    Rows here hold whole texts, and a worker's memory follows the size of a batch, so the
+    session's limit is lowered if it is higher.
+    """
+    small_batches(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def release(spark: SparkSession) -> bool:
     """Delete all tables that ``stored`` wrote below the session's shared folder, once results are read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/corvane")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bucket
+from .common import doc_bucket, map_texts
 
 FOLDS, HELD_OUT = 3, 1
 MAX_DOCS, MAX_LANGS, TRAIN_LEN, ROUNDS = 800, 200, 24, 3
@@ -235,7 +235,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, max_docs: int = MAX_DO
                 c.update((lang, w) for w in words(t) if len(w) < TRAIN_LEN)
         yield pd.DataFrame([(a, w, n) for (a, w), n in c.items()], columns=["lang", "word", "n"])
 
-    rows = sample.select("lang", "text").mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = map_texts(sample.select("lang", "text"), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     for lang, word, n in rows.toPandas().itertuples(index=False):  # words of the sample
         counts.setdefault(lang, {})[word] = n
@@ -308,7 +308,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": pred, "score": conf})
 
     d = docs.select("doc_id", (doc_bucket("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
-    return d.mapInPandas(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    return map_texts(d, run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import map_texts, stored
 
 SIZE = 2048
 END_ID = 0
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, wit
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return map_texts(docs.select("doc_id", "text"), run, schema)
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts, small_batches
+
 MAX_FINDINGS = 50_000
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -283,12 +285,13 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_candidates": n, "n_secrets": [len(s) for s in spans], "secrets": spans})
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_candidates long, n_secrets long, secrets {_SPANS}"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return map_texts(docs.select("doc_id", "text"), run, schema)
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """``docs`` with every secret of its texts replaced by ``mask``; the input's columns."""
     shared = docs.sparkSession.sparkContext.broadcast(forest or train())
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def masked(text: pd.Series) -> pd.Series:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import map_texts, stored
 
 WORDS, SIMILARITY = 5, 0.8
 BITS, TABLES, NEAR = 256, 32, 160
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, tables: int = TABLES) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "fp": fps, "codes": codes})
 
     d = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("key"))
-    return d.mapInPandas(run, f"doc_id {id_type}, key binary, fp binary, codes array<long>")
+    return map_texts(d, run, f"doc_id {id_type}, key binary, fp binary, codes array<long>")
 
 
 def candidates(reps: DataFrame, near: int = NEAR, distance: int = DISTANCE) -> DataFrame:
@@ -150,15 +150,24 @@ def candidates(reps: DataFrame, near: int = NEAR, distance: int = DISTANCE) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t0, k0, f0 = np.zeros(0, "int64"), np.zeros(0, object), np.zeros((0, BITS // 64), "uint64")
+        for c in joined(batches):
+            t = np.concatenate([t0, c["t"].to_numpy("int64")])
+            key = np.concatenate([k0, c["key"].to_numpy(object)])
+            fp = np.concatenate([f0, np.frombuffer(b"".join(c["fp"]), "uint64").reshape(-1, BITS // 64)])
+            out = links(t, key, fp, len(t0))
+            yield pd.DataFrame([(min(x, y), max(x, y), z) for x, y, z in out], columns=["a", "b", "bits"])
+            t0, k0, f0 = t[-near:], key[-near:], fp[-near:]
+
+    def joined(batches: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+        """Batches of about ``rows`` rows: a comparison of many rows at once is what is fast here."""
+        held: list[pd.DataFrame] = []
         for b in batches:
-            for at in range(0, len(b), 20_000):
-                c = b.iloc[at : at + 20_000]
-                t = np.concatenate([t0, c["t"].to_numpy("int64")])
-                key = np.concatenate([k0, c["key"].to_numpy(object)])
-                fp = np.concatenate([f0, np.frombuffer(b"".join(c["fp"]), "uint64").reshape(-1, BITS // 64)])
-                out = links(t, key, fp, len(t0))
-                yield pd.DataFrame([(min(x, y), max(x, y), z) for x, y, z in out], columns=["a", "b", "bits"])
-                t0, k0, f0 = t[-near:], key[-near:], fp[-near:]
+            held.append(b)
+            if sum(map(len, held)) >= rows:
+                yield pd.concat(held)
+                held = []
+        if held:
+            yield pd.concat(held)
 
     return e.mapInPandas(run, "a binary, b binary, bits int").groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
@@ -183,7 +192,7 @@ def verify(links: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
     j = links.select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     j = j.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    return j.select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary")
+    return map_texts(j.select("a", "b", "ta", "tb"), run, "a binary, b binary")
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:

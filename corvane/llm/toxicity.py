@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bucket
+from .common import doc_bucket, map_texts, small_batches
 
 FOLDS, HELD_OUT = 5, 0
 MAX_LABELLED = 20_000
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "x": [features(t) for t in b["text"]]})
 
-    rows = d.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, x array<double>").toPandas()
+    rows = map_texts(d, run, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, x array<double>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     if not len(rows):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
@@ -232,12 +232,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     d = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in d.drop("__text").dtypes) + ", score double, predicted int"
-    return d.mapInPandas(run, schema)
+    return map_texts(d, run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``; the input's columns."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def toxic(text: pd.Series) -> pd.Series:
