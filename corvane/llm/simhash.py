@@ -203,18 +203,22 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     e = stored(e, name)
+    rows = e.count()
+    # files and tasks follow the number of edges, and a node has one row in what is joined below
+    parts = max(1, -(-rows // 100_000))
+    send = F.broadcast if 2 * rows <= MAX_BROADCAST else (lambda d: d)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        e = stored(e, name)
-        low = stored(e.groupBy("u").agg(F.min("v").alias("m")), name)
-        small = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
-        e = stored(small.distinct(), name)
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts), name)
+        e = both.where("v > u").join(send(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        e = stored(e.coalesce(parts), name)
+        low = stored(e.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts), name)
+        small = e.join(send(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
+        e = stored(small.distinct().coalesce(parts), name)
         # done when all are stars: no node has two parents, or is both parent and child
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
         ends = ends.unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
-        ends = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        ends = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).coalesce(parts)
         if ends.where("child > 1 or child > 0 and parent > 0").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
