@@ -259,8 +259,10 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     cols = docs.columns
     c = classes(docs, similarity)
     keep = c.where("class_docs > 1 and key = class_key").groupBy("key").agg(F.min("doc_id").alias("__id"))
+    keep = keep.withColumn("__keeps", F.lit(True))  # the smallest id of a kept text can be null
     lost = c.where("class_docs > 1").select(F.col("key").alias("__key")).distinct()
-    lost = stored(lost.join(keep.withColumnRenamed("key", "__key"), "__key", "left").withColumn("__keeps", F.col("__id").isNotNull()), "doubled")
+    lost = lost.join(keep.withColumnRenamed("key", "__key"), "__key", "left")
+    lost = stored(lost.withColumn("__keeps", F.coalesce("__keeps", F.lit(False))), "doubled")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.unhex(F.md5("text")).alias("__key"), F.col("doc_id").alias("__doc"))
     twins = c.where("class_docs > 1 and key = class_key").groupBy("key", "doc_id").count().where("count > 1")
     if lost.count() <= MAX_BROADCAST:
