@@ -9,10 +9,13 @@ order can be cut anywhere, so neither a large bucket nor a large group of copies
 task, and no pairs of a whole group are formed. (The first texts after a cut meet fewer; cuts
 fall elsewhere in other tables.)
 
-Candidates within ``DISTANCE`` bits are linked, closest first. The Jaccard similarity of the
-shingle sets decides: first each text's closest link is verified, then every remaining link
-whose ends are not yet in one class. Byte-equal texts are one from the start. Classes are the
-connected components of verified links, found by alternating star contraction.
+Candidates within ``DISTANCE`` bits are linked, the three closest of each text and table. The
+Jaccard similarity of the shingle sets decides: first each text's closest link is verified, then
+every remaining link whose ends are not yet in one class. A text with more than three such
+predecessors in a table is crowded, and so are they. All crowded texts are joined on their
+shingles by an exact prefix filter, and every pair that it leaves and whose ends are not yet in
+one class is verified too. Byte-equal texts are one from the start. Classes are the connected
+components of verified links, found by alternating star contraction.
 
 Defined cases: texts without words (null, empty) are classes of their own; a text of fewer
 than five words has one shingle, all of its words; words are split at ASCII white space,
@@ -36,6 +39,8 @@ BITS, TABLES, NEAR = 256, 32, 160
 #: Of two sets with similarity 0.8 about 39 bits differ, with a deviation of 6.
 DISTANCE = 58
 MAX_BROADCAST = 500_000  # keys of 16 bytes
+BLOCK = 1000  # texts with a common shingle that one join key holds
+SKETCH = 1 << 18  # counts of shingles by their lowest bits, which order them
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,7 +126,8 @@ def signatures(docs: DataFrame, tables: int = TABLES) -> DataFrame:
 
 def candidates(reps: DataFrame, near: int = NEAR, distance: int = DISTANCE) -> DataFrame:
     """Links a, b, bits between close fingerprints: for each text and table its closest
-    predecessors in the order that are not yet linked among themselves, three at most."""
+    predecessors in the order, three at most. A row a, a says that ``a`` is crowded: it is one of
+    more than three that are close to each other's successor, or that successor."""
     e = reps.select(F.posexplode("codes").alias("t", "code"), "key", "fp").withColumn("code", F.col("code").bitwiseXOR(F.lit(-(2**63))))
     e = e.repartitionByRange("t", "code").sortWithinPartitions("t", "code")
 
@@ -129,6 +135,8 @@ def candidates(reps: DataFrame, near: int = NEAR, distance: int = DISTANCE) -> D
         n = len(t)
         dist = np.full((3, n - first), 999, "int32")
         back = np.zeros((3, n - first), "int64")
+        close = np.zeros(n - first, "int64")
+        pairs = []
         for d in range(1, min(near, n - 1) + 1):
             lo = max(first, d)
             x = np.bitwise_count(fp[lo:] ^ fp[lo - d : n - d]).sum(1, dtype="int32")
@@ -137,6 +145,8 @@ def candidates(reps: DataFrame, near: int = NEAR, distance: int = DISTANCE) -> D
             if not len(cols):
                 continue
             x, y, c = x[cols], np.full(len(cols), d), cols + lo - first
+            close[c] += 1
+            pairs.append((d, c))
             for k in range(3):  # what is not among the three closest falls out
                 was_x, was_y = dist[k, c], back[k, c]
                 closer = x < was_x
@@ -146,6 +156,11 @@ def candidates(reps: DataFrame, near: int = NEAR, distance: int = DISTANCE) -> D
         for k in range(3):
             for i in np.flatnonzero(dist[k] <= distance):
                 out.append((key[first + i - back[k, i]], key[first + i], int(dist[k, i])))
+        crowded = np.zeros(n, bool)
+        crowded[first:] = close > 3
+        for d, c in pairs:
+            crowded[first + c[close[c] > 3] - d] = True
+        out += [(key[i], key[i], 0) for i in np.flatnonzero(crowded)]
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,6 +210,68 @@ def verify(links: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     return map_texts(j.select("a", "b", "ta", "tb"), run, "a binary, b binary")
 
 
+def prefixes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """h, key, root, n, pos: the rarest shingles of each text, so many that two texts of the
+    similarity share one. n is the number of all shingles, pos the place from the rarest on.
+
+    Any order that is the same for all texts is right; this one is by counts in a sketch.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, total = WordHash(), np.zeros(SKETCH, "int64")
+        for b in batches:
+            for t in b["text"]:
+                total += np.bincount(shingles(t, hashes) & np.uint64(SKETCH - 1), minlength=SKETCH)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "n": total[at]})
+
+    counts = map_texts(texts.select("text"), count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most SKETCH rows
+    sketch = np.zeros(SKETCH, "int64")
+    sketch[counts["at"].to_numpy("int64")] = counts["n"]
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, weight = WordHash(), shared.value
+        for b in batches:
+            for lo in range(0, len(b), 100):
+                part = b.iloc[lo : lo + 100]
+                first, n = [], []
+                for t in part["text"]:
+                    s = shingles(t, hashes)
+                    s = s[np.lexsort((s, weight[s & np.uint64(SKETCH - 1)]))]
+                    first.append(s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1].view("int64"))
+                    n.append(len(s))
+                p = [len(x) for x in first]
+                rows = {c: np.repeat(part[c].to_numpy(object), p) for c in ("key", "root")}
+                yield pd.DataFrame({"h": np.concatenate(first), **rows, "n": np.repeat(n, p), "pos": np.concatenate([np.arange(k) for k in p])})
+
+    return map_texts(texts.select("key", "root", "text"), run, "h long, key binary, root binary, n int, pos int")
+
+
+def crowded_links(crowd: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links a, b between texts key of ``crowd`` with different root, with none of the similarity left out.
+
+    Texts that share a shingle of their prefixes meet, in blocks of ``BLOCK`` by ``BLOCK`` of them,
+    unless their sizes or the places of that shingle rule the similarity out.
+    """
+    small = crowd.count() <= MAX_BROADCAST // 2
+    texts = docs.select(F.unhex(F.md5("text")).alias("key"), "text").join(F.broadcast(crowd) if small else crowd, "key")
+    texts = stored(texts.groupBy("key").agg(F.first("root").alias("root"), F.min("text").alias("text")), "crowd")
+    e = stored(prefixes(texts, similarity), "prefixes")
+    # where all have one root, nothing is left to link
+    shared = e.groupBy("h").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h", "m")
+    shared = stored(shared, "shared")
+    e = e.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared, "h")
+    e = e.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("part", F.pmod(F.hash("key"), F.col("parts")))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    l = e.select("h", F.col("part").alias("x"), others.alias("y"), F.col("key").alias("ka"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    r = e.select("h", others.alias("x"), F.col("part").alias("y"), F.col("key").alias("kb"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    share = similarity / (1 + similarity)
+    fits = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= share * (F.col("na") + F.col("nb")) - 1e-6
+    j = l.join(r, ["h", "x", "y"]).where((F.col("ra") < F.col("rb")) & fits)
+    return j.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+
+
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """node, root of the connected components of edges a, b; root is the smallest node.
 
@@ -223,12 +300,22 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def linked(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root of the components ``comp`` after further edges a, b; roots are nodes too."""
+    if edges.isEmpty():
+        return comp
+    stars = comp.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    comp = components(stars.unionByName(edges))
+    return stored(comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct(), "components")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
     """doc_id, key, class_id, class_key and class_docs (rows in the class) for every row of ``docs``."""
     sig = stored(signatures(docs, tables), "signatures")
     reps = sig.where("fp is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("codes").alias("codes"))
     reps = stored(reps, "reps")
-    links = stored(candidates(reps), "links")
+    found = stored(candidates(reps), "links")
+    links, crowd = found.where("a != b"), found.where("a = b").select(F.col("a").alias("key"))
     # each text's closest link first: most classes are whole then
     best = links.select(F.col("b").alias("node"), "a", "b", "bits").unionByName(links.select(F.col("a").alias("node"), "a", "b", "bits"))
     best = best.groupBy("node").agg(F.min(F.struct("bits", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
@@ -240,10 +327,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLE
     rest = rest.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b")
     rest = rest.join(best, ["a", "b"], "left_anti")
     second = stored(verify(stored(rest, "rest"), docs, similarity), "verified")
-    if not second.isEmpty():
-        stars = comp.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        comp = components(stars.unionByName(second))
-        comp = comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct()
+    comp = linked(comp, second)
+    if not crowd.isEmpty():
+        crowd = crowd.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        third = stored(crowded_links(stored(crowd, "crowd"), docs, similarity), "rest")
+        comp = linked(comp, stored(verify(third, docs, similarity), "verified"))
     r = reps.select("key", "low", "n").join(comp.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     r = stored(r, "rooted")
     per = r.groupBy("root").agg(F.min("low").alias("class_id"), F.min(F.struct(F.col("low").isNull(), "low", "key")).alias("x"), F.sum("n").alias("class_docs"))

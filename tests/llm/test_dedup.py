@@ -1,5 +1,7 @@
 """Near-dedup where ids are null and where many texts are alike."""
 
+import numpy as np
+
 from corvane.llm import simhash
 
 DOC = "doc_id long, text string"
@@ -12,3 +14,23 @@ def test_null_ids_keep_one_copy(spark):
     left = [r.text for r in simhash.dedup(spark.createDataFrame(rows, DOC)).collect()]
     assert len(left) == 3 and len({*left} & {" ".join(words), near}) == 1
     assert {"exact copies here", "alone with an id"} < {*left}
+
+
+def template_group(n, pairs, seed=3):
+    """n texts of similarity 0.70 by a shared beginning; texts 2 i and 2 i + 1 of the first pairs have 0.83."""
+    rng = np.random.default_rng(seed)
+    start = " ".join(f"w{i}" for i in range(200))
+    ends = [[f"x{k}" for k in rng.integers(10**9, size=42)] for _ in range(n)]
+    for i in range(pairs):
+        ends[2 * i + 1][:20] = ends[2 * i][:20]
+    return [f"{start} {' '.join(e)}" for e in ends]
+
+
+def test_pairs_in_a_template_group(spark):
+    n, pairs = 600, 100
+    texts = template_group(n, pairs)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    same = [(i, j) for j in range(n) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert same == [(2 * i, 2 * i + 1) for i in range(pairs)]
+    got = {r.doc_id: r.class_id for r in simhash.classes(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    assert got == {i: i - i % 2 if i < 2 * pairs else i for i in range(n)}
