@@ -34,3 +34,19 @@ def test_pairs_in_a_template_group(spark):
     assert same == [(2 * i, 2 * i + 1) for i in range(pairs)]
     got = {r.doc_id: r.class_id for r in simhash.classes(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
     assert got == {i: i - i % 2 if i < 2 * pairs else i for i in range(n)}
+
+
+def test_pairs_beyond_the_window(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    n, pairs = 300, 60
+    docs = spark.createDataFrame(list(enumerate(template_group(n, pairs))), DOC)
+    sig = simhash.stored(simhash.signatures(docs), "signatures")
+    found = simhash.stored(simhash.candidates(sig, near=8), "links")
+    ids = {bytes(r.key): r.doc_id for r in sig.collect()}
+    planted = {(2 * i, 2 * i + 1) for i in range(pairs)}
+    in_window = {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in found.where("a != b").collect()}
+    assert planted - in_window  # what the window alone loses
+    crowd = found.where("a = b").selectExpr("a AS key", "a AS root")
+    assert crowd.count() == n
+    joined = {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in simhash.crowded_links(crowd, docs).collect()}
+    assert planted <= joined and len(joined) < 2 * pairs
