@@ -198,15 +198,40 @@ def test_isotonic_and_trees():
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
     rows = toxicity.op6_toxicity(spark, sf).collect()
-    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert len(rows) == 10_000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
-    # one label in twenty of the tables is wrong, so clean texts labelled toxic can't be found
-    wrong = [r for r in rows if r.held_out and labels.get(r.doc_id) == 0 and r.predicted]
-    found = [r for r in rows if r.held_out and labels.get(r.doc_id) == 1 and r.predicted]
-    assert not wrong and len(found) >= 0.3 * sum(r.held_out and labels.get(r.doc_id) == 1 for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in labels]
+    for one in ("de", "en", "es", "fr"):
+        own = [r for r in held if lang[r.doc_id] == one]
+        toxic = [r.predicted for r in own if labels[r.doc_id] == 1]
+        clean = [r.predicted for r in own if labels[r.doc_id] == 0]
+        assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_toxicity_features():
+    lex = toxicity.Lexicon.of({"grzk": 3.0, "réeux": 1.5})
+    f = dict(zip(toxicity.FEATURES, toxicity.features("You grzk! " + "calm " * 30 + "réeux r3eux g.r.z.k gr*k", lex), strict=True))
+    assert f["n_hits"] == f["distinct_hits"] == 2 and f["near_second"] == 1 and f["max_in_20"] == 1
+    assert f["disguised_hits"] == 2 and f["weight_sum"] == 4.5 and f["second_density"] > 0
+    assert toxicity.features(None, lex) == toxicity.features("", lex)
+    crowded = dict(zip(toxicity.FEATURES, toxicity.features("grzk " * 500 + "calm", lex), strict=True))
+    assert crowded["max_in_20"] == 20 and crowded["n_hits"] == 500
+
+
+def test_lexicon_is_learned_from_groups_of_like_texts(spark):
+    rng = np.random.default_rng(8)
+    base = [f"word{i}" for i in range(300)]
+    rows = [(" ".join(rng.choice(base, 40)), 0) for _ in range(80)]
+    rows += [(" ".join([*rng.choice(base, 40), "grzk"]), 1) for _ in range(40)]
+    rows += [("a passage with onlyhere that is copied " + " ".join(base[:30]), 1)] * 60
+    lex = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert len(lex) == toxicity.PARTS + 1
+    assert all("grzk" in x.weights and "onlyhere" not in x.weights for x in lex)
+    assert toxicity.learn_lexicon(spark.createDataFrame([], "text string, toxic int"))[-1].weights.keys() == toxicity.INSULTS
 
 
 def test_toxicity_cases(spark):
