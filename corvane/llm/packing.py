@@ -9,8 +9,10 @@ pieces take their slots by joining on their rank within their length.
 Ranks are counted within salted parts of a length and shifted by the parts' sizes, so a
 length that a third of all pieces share is no single task.
 
-Defined cases: null text is empty, and an empty document is the single end id; repeated rows
-are packed one by one (equal pieces may swap places); an empty table gives an empty result.
+Defined cases: null text is empty, and an empty document is the single end id; a very long
+text is encoded whole and cut into many pieces; repeated rows are packed one by one (equal
+pieces may swap places); a null doc_id is kept; an empty table gives an empty result; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +49,8 @@ class Encoder:
     """Token ids of a byte-level vocabulary file, as arrays of unsigned 32-bit numbers.
 
     ``tokenizers`` defines them. Its ids for texts of plain characters are the same as those
-    that tiktoken gives with the file's own ranks, several times faster; all other texts go
-    through ``tokenizers`` itself.
+    that tiktoken gives with the file's own ranks, several times faster; all other texts, and
+    those that hold a special token literally, go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
@@ -57,16 +59,15 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-        special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
+        special = self.special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
         ranks = {bytes(byte[c] for c in t): i for t, i in self.slow.get_vocab().items() if t not in special}
         self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if text.isascii() and text.isprintable() or _PLAIN.issuperset(text):
+        if (text.isascii() and text.isprintable() or _PLAIN.issuperset(text)) and not any(map(text.__contains__, self.special)):
             return np.array(self.fast.encode_ordinary(text), "<u4")
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
