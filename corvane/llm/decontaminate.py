@@ -2,13 +2,19 @@
 
 The windows' 64-bit hashes become one ``IN`` set that travels with the tasks; a document's
 windows are hashed and tested in place, so documents without a hit never leave their task.
-Hits are then verified by an exact join on the window's words, which also gives the items.
-The set is used only up to ``max_set`` windows; a larger benchmark goes by an exact
-shuffle join of exploded windows instead (same results).
-
-Defined cases: null or word-free text has no words and no hits; an item without words has no
-window; an item with a null id marks words as hit but is in no item list; repeated rows are
-judged one by one; an empty benchmark marks nothing; clashing further columns are ignored.
+Hits are then verified exactly by the window's words, in place where only the verdict or the
+places count, by a join where the items are asked for.
+
+Beyond ``max_set`` windows the set is a table. The documents are stored with a row number, and
+(row, place, hash) of their windows is joined with the hashes: a broadcast hash set up to
+``MAX_BROADCAST`` of them, then an exchange in which a frequent window is dealt to ``SALTS``
+tasks. Texts are in neither; they meet their places by the row number, and the words of each
+place are compared then (same results).
+
+Defined cases: null or word-free text has no words and no hits; a very long text is searched
+whole; an item without words has no window; an item with a null id marks words as hit but is in
+no item list; repeated rows are judged one by one; an empty benchmark marks nothing, and an
+empty table of documents gives an empty result; clashing further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,11 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, where_fenced
+from .common import ascii_lower, stored, where_fenced
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-MAX_SET = 200_000
+MAX_SET = 50_000
+MAX_BROADCAST = 5_000_000  # hashes of 8 bytes
+MAX_WINDOWS = 200_000  # windows with their words and items that a broadcast may hold
+SALTS = 16
 
 
 def words(text: str | Column) -> Column:
@@ -44,14 +53,19 @@ def _win_hash(win: Column, n: int) -> Column:
     return F.xxhash64(*[F.xxhash64(F.get(parts, k)) for k in range(n)])
 
 
-def _candidates(docs: DataFrame, text: str, lens: list[int], sets: dict[int, list[int]] | None) -> DataFrame:
-    """__uid, __row, __n and __c: (pos, len, win) of the windows whose hash is in ``sets``, all if None."""
-    d = docs.select(F.monotonically_increasing_id().alias("__uid"), "__row", words(text).alias("__w"))
-    d = d.select("__uid", "__row", F.size("__w").cast("long").alias("__n"), "__w", F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"))
+def _hashed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with __w, the words, and __h, their hashes, instead of ``text``."""
+    d = docs.withColumn("__w", words(text)).drop(text)
+    return d.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
+
+
+def _candidates(docs: DataFrame, text: str, lens: list[int], sets: dict[int, list[int]]) -> DataFrame:
+    """__uid, __row, __n and __c: (pos, len, win) of the windows whose hash is in ``sets``."""
+    d = _hashed(docs.select(F.monotonically_increasing_id().alias("__uid"), "__row", text), text).withColumn("__n", F.size("__w").cast("long"))
     found = []
     for k, n in enumerate(lens):
         gets = "".join(f", get(__h, i + {j})" for j in range(1, n))
-        test = f"xxhash64(x{gets}) in ({', '.join(map(str, sets[n]))})" if sets else "true"
+        test = f"xxhash64(x{gets}) in ({', '.join(map(str, sets[n]))})"
         d = d.withColumn(f"__p{k}", F.expr(f"array_compact(transform(slice(__h, 1, greatest(size(__h) - {n - 1}, 0)), (x, i) -> case when {test} then i end))"))
         found.append(_cut(f"__p{k}", n))
     none = F.array().cast("array<struct<pos:int,len:int,win:string>>")
@@ -75,21 +89,70 @@ def _plan(win: DataFrame, max_set: int) -> tuple[list[int], dict[int, list[int]]
     return lens, {n: [r["h"] for r in win.where(F.col("len") == n).select(_win_hash(F.col("win"), n).alias("h")).distinct().collect()] for n in lens}
 
 
-def _hits(docs: DataFrame, win: DataFrame, text: str, max_set: int) -> DataFrame:
-    """__uid, __row, __n, __hits (verified (pos, len) pairs) and __items, for each row of ``docs``."""
-    lens, sets = _plan(win, max_set)
-    d = _candidates(docs, text, lens, sets)
-    e = d.select("__uid", "__row", "__n", F.explode_outer("__c").alias("__e")).select("__uid", "__row", "__n", "__e.*")
-    right = win.withColumn("__hit", F.lit(True))
-    if sets is not None:
-        right = F.broadcast(right)  # at most max_set windows
-    e = e.join(right, ["win", "len"], "left")
-    return e.groupBy("__uid", "__row", "__n").agg(
-        F.array_sort(F.collect_set(F.when(F.col("__hit"), F.struct("pos", "len")))).alias("__hits"),
+def _salted(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join in which the rows of one key of ``left`` go to SALTS tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return left.withColumn("__salt", F.pmod(F.xxhash64("__uid", "pos"), F.lit(SALTS)).cast("int")).join(right.withColumn("__salt", salts), [*on, "__salt"], how).drop("__salt")
+
+
+def _by_join(base: DataFrame, win: DataFrame, lens: list[int]) -> DataFrame:
+    """__uid, pos, len and items of the verified windows of ``base`` (__uid, __text), which is stored."""
+    h = _hashed(base.select("__uid", "__text"), "__text")
+    at = []
+    for n in lens:
+        part = F.transform(F.slice("__h", 1, F.greatest(F.size("__h") - (n - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(F.col("__h"), i + k) for k in range(1, n)]))
+        at.append(h.select("__uid", F.posexplode(part).alias("pos", "h")).withColumn("len", F.lit(n)))
+    if not at:
+        return base.select("__uid", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.array().cast("array<long>").alias("items")).limit(0)
+    found = at[0]
+    for x in at[1:]:
+        found = found.unionByName(x)
+    own = F.coalesce(*[F.when(F.col("len") == n, _win_hash(F.col("win"), n)) for n in lens])
+    hashes = win.select(own.alias("h"), "len").distinct()
+    if hashes.count() <= MAX_BROADCAST:
+        found = found.join(F.broadcast(hashes), ["h", "len"], "left_semi")
+    else:
+        found = _salted(found, hashes, ["h", "len"], "left_semi")
+    places = found.groupBy("__uid").agg(F.collect_set(F.struct("pos", "len")).alias("__p"))
+    t = base.select("__uid", "__text").join(places, "__uid").select("__uid", words("__text").alias("__w"), "__p")
+    cut = F.transform("__p", lambda p: F.struct(p["pos"].alias("pos"), p["len"].alias("len"), F.array_join(F.slice(F.col("__w"), p["pos"] + 1, p["len"]), " ").alias("win")))
+    e = t.select("__uid", F.explode(cut).alias("e")).select("__uid", "e.*")
+    if win.count() <= MAX_WINDOWS:
+        return e.join(F.broadcast(win), ["win", "len"]).select("__uid", "pos", "len", "items")
+    return _salted(e, win, ["win", "len"], "inner").select("__uid", "pos", "len", "items")
+
+
+_HITS = "array<struct<pos:int,len:int>>"
+
+
+def _collected(e: DataFrame, *more: Column) -> DataFrame:
+    """__uid, __hits (the distinct places with items) and __items of rows (__uid, pos, len, items)."""
+    return e.groupBy("__uid").agg(
+        *more,
+        F.array_sort(F.collect_set(F.when(F.col("items").isNotNull(), F.struct("pos", "len")))).alias("__hits"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("__items"),
     )
 
 
+def _stored_rows(docs: DataFrame) -> DataFrame:
+    return stored(docs.select(F.monotonically_increasing_id().alias("__uid"), "__row", "__text"), "numbered")
+
+
+def _hits(docs: DataFrame, win: DataFrame, max_set: int) -> DataFrame:
+    """__row, __n, __hits (verified (pos, len) pairs) and __items, for each row of ``docs``, whose __row is small."""
+    lens, sets = _plan(win, max_set)
+    if sets is None:
+        base = _stored_rows(docs)
+        found = _collected(_by_join(base, win, lens))
+        d = base.select("__uid", "__row", F.size(words("__text")).cast("long").alias("__n")).join(found, "__uid", "left")
+        none = F.array().cast(dict(found.dtypes)["__items"])
+        return d.withColumn("__hits", F.coalesce("__hits", F.array().cast(_HITS))).withColumn("__items", F.coalesce("__items", none))
+    d = _candidates(docs, "__text", lens, sets)
+    e = d.select("__uid", "__row", "__n", F.explode_outer("__c").alias("__e")).select("__uid", "__row", "__n", "__e.*")
+    # at most max_set windows
+    return _collected(e.join(F.broadcast(win), ["win", "len"], "left"), F.first("__row").alias("__row"), F.first("__n").alias("__n"))
+
+
 def _covered(hits: str) -> Column:
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda a, p: F.struct(
@@ -102,7 +165,7 @@ def _covered(hits: str) -> Column:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits, items."""
     packed = docs.select(F.struct("doc_id").alias("__row"), F.col("text").alias("__text"))
-    h = _hits(packed, windows(benchmark, size), "__text", max_set)
+    h = _hits(packed, windows(benchmark, size), max_set)
     ids = F.array_join(F.array_sort(F.transform("__items", lambda i: i.cast("string"))), ",")
     return h.select(
         F.col("__row.doc_id").alias("doc_id"),
@@ -130,16 +193,23 @@ def _act(docs: DataFrame, benchmark: DataFrame, size: int, max_set: int, spans:
     cols = docs.columns
     win = windows(benchmark, size)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.col("text").alias("__text"))
-    lens, sets = ([], None) if spans else _plan(win, max_set)
+    lens, sets = _plan(win, max_set)
     if sets is not None:
-        # only the verdict is needed: the candidates' words are compared in place, nothing is shuffled
+        # only places are needed: the candidates' words are compared in place, nothing is shuffled
         listed = [r["win"] for r in win.select("win").collect()]  # at most max_set windows
         d = _candidates(packed, "__text", lens, sets)
-        hit = F.exists("__c", lambda c: c["win"].isin(listed)) if listed else F.lit(False)
-        return where_fenced(d, ~hit).select("__row.*")
-    h = _hits(packed, win, "__text", max_set)
-    if not spans:
-        return where_fenced(h, F.size("__hits") == 0).select("__row.*")
+        if not spans:
+            hit = F.exists("__c", lambda c: c["win"].isin(listed)) if listed else F.lit(False)
+            return where_fenced(d, ~hit).select("__row.*")
+        hits = F.filter("__c", lambda c: c["win"].isin(listed)) if listed else F.array().cast(_HITS)
+        h = d.select("__row", hits.alias("__hits"))
+    else:
+        base = _stored_rows(packed)
+        found = _by_join(base, win, lens)
+        if not spans:
+            return base.join(found.select("__uid").distinct(), "__uid", "left_anti").select("__row.*")
+        found = found.groupBy("__uid").agg(F.collect_set(F.struct("pos", "len")).alias("__hits"))
+        h = base.select("__uid", "__row").join(found, "__uid", "left").withColumn("__hits", F.coalesce("__hits", F.array().cast(_HITS)))
     run = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     h = h.withColumn("__parts", F.regexp_extract_all(F.coalesce(F.col("__row.text"), F.lit("")), F.lit(run), 0))
     h = h.withColumn("__first", F.when(F.get("__parts", F.lit(0)).rlike("^" + SEPARATORS), F.lit(1)).otherwise(F.lit(0)))
