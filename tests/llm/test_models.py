@@ -68,9 +68,8 @@ def test_encoder_equals_tokenizers():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
     e = packing.Encoder(packing.default_vocabulary())
-    texts = ["", "It's  a test\n\n of 12ab words'll", "Éauxtré ñ ß", "日本語 テスト ²Ⅷ", "<|endoftext|> a", "a\x1cb\x85c\xa0d", " \t\r\n x  ", "–—“q” €5 ¿no?", "x" * 5000, "\U0001f600 ok"]
+    texts = ["", "It's  a test\n\n of 12ab words'll", "Éauxtré ñ ß", "日本語 テスト ²Ⅷ", "<|endoftext|> a", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "a\x1cb\x85c\xa0d", " \t\r\n x  ", "–—“q” €5 ¿no?", "x" * 5000, "\U0001f600 ok"]
     for s in texts:
         assert e.encode(s).tolist() == t.encode(s, add_special_tokens=False).ids
 
