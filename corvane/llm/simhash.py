@@ -5,8 +5,8 @@ Each of ``TABLES`` tables reads 64 coordinates sampled at random and orders all
 them. Texts whose first sampled bits agree form a bucket, which is a run of that order; as
 the order continues with the further bits, a bucket larger than ``NEAR`` texts is cut by
 additional bits: each text meets the ``NEAR`` texts before it, those that share most bits. An
-order can be cut anywhere, so neither a large bucket nor a large group of copies becomes one
-task, and no pairs of a whole group are formed. (The first texts after a cut meet fewer; cuts
+order ends with the text's key and can be cut anywhere, so neither a large bucket nor a large
+group of copies becomes one task, and no pairs of a whole group are formed. (The first texts after a cut meet fewer; cuts
 fall elsewhere in other tables.)
 
 Candidates within ``DISTANCE`` bits are linked, the three closest of each text and table. The
@@ -19,8 +19,9 @@ components of verified links, found by alternating star contraction.
 
 Defined cases: texts without words (null, empty) are classes of their own; a text of fewer
 than five words has one shingle, all of its words; words are split at ASCII white space,
-A-Z lower-cased; a class id is the smallest doc_id in it, null if all are null; repeated rows
-are exact copies; an empty table gives an empty result.
+A-Z lower-cased; a very long text is read whole, in memory of about 30 times its words; a class
+id is the smallest doc_id in it, null if all are null; repeated rows are exact copies; an empty
+table gives an empty result; further columns, whatever their names, are kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, stored
@@ -38,7 +39,10 @@ WORDS, SIMILARITY = 5, 0.8
 BITS, TABLES, NEAR = 256, 32, 160
 #: Of two sets with similarity 0.8 about 39 bits differ, with a deviation of 6.
 DISTANCE = 58
+#: Short texts differ in more bits, as a few shingles decide each.
+SHORT, SHORT_DISTANCE = 8, 75
 MAX_BROADCAST = 500_000  # keys of 16 bytes
+HOT_TEXTS = 200_000  # texts of very many rows
 BLOCK = 1000  # texts with a common shingle that one join key holds
 SKETCH = 1 << 18  # counts of shingles by their lowest bits, which order them
 
@@ -100,16 +104,17 @@ def coordinates(tables: int = TABLES, seed: int = 11) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, tables: int = TABLES) -> DataFrame:
-    """doc_id, key (md5 of the text), fp and codes (64 sampled bits for each table) of every row."""
+    """doc_id, key (md5 of the text), fp, codes (64 sampled bits for each table) and size (shingles) of every row."""
     id_type = dict(docs.dtypes)["doc_id"]
     at = coordinates(tables)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
         for b in batches:
-            fps, codes = [], []
+            fps, codes, sizes = [], [], []
             for t in b["text"]:
                 s = shingles(t, hashes)
+                sizes.append(len(s))
                 if not len(s):
                     fps.append(None)
                     codes.append(None)
@@ -118,20 +123,26 @@ def signatures(docs: DataFrame, tables: int = TABLES) -> DataFrame:
                 bits = np.unpackbits(f.view("uint8"), bitorder="little")
                 fps.append(f.tobytes())
                 codes.append(np.packbits(bits[at], axis=1).view(">u8").ravel().astype("uint64").view("int64"))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "fp": fps, "codes": codes})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "fp": fps, "codes": codes, "size": sizes})
 
-    d = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("key"))
-    return map_texts(d, run, f"doc_id {id_type}, key binary, fp binary, codes array<long>")
+    d = docs.select("doc_id", "text", _key().alias("key"))
+    return map_texts(d, run, f"doc_id {id_type}, key binary, fp binary, codes array<long>, size int")
+
+
+def _key() -> Column:
+    """Null text is like an empty one: both have no words."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
 def candidates(reps: DataFrame, near: int = NEAR, distance: int = DISTANCE) -> DataFrame:
     """Links a, b, bits between close fingerprints: for each text and table its closest
     predecessors in the order, three at most. A row a, a says that ``a`` is crowded: it is one of
     more than three that are close to each other's successor, or that successor."""
-    e = reps.select(F.posexplode("codes").alias("t", "code"), "key", "fp").withColumn("code", F.col("code").bitwiseXOR(F.lit(-(2**63))))
-    e = e.repartitionByRange("t", "code").sortWithinPartitions("t", "code")
+    e = reps.select(F.posexplode("codes").alias("t", "code"), "key", "fp", (F.col("size") < SHORT).alias("short")).withColumn("code", F.col("code").bitwiseXOR(F.lit(-(2**63))))
+    # texts of one code are told apart by their keys, so a run of any length is cut
+    e = e.repartitionByRange("t", "code", "key").sortWithinPartitions("t", "code", "key")
 
-    def links(t: np.ndarray, key: np.ndarray, fp: np.ndarray, first: int) -> list[tuple[bytes, bytes, int]]:
+    def links(t: np.ndarray, key: np.ndarray, fp: np.ndarray, short: np.ndarray, first: int) -> list[tuple[bytes, bytes, int]]:
         n = len(t)
         dist = np.full((3, n - first), 999, "int32")
         back = np.zeros((3, n - first), "int64")
@@ -141,7 +152,8 @@ def candidates(reps: DataFrame, near: int = NEAR, distance: int = DISTANCE) -> D
             lo = max(first, d)
             x = np.bitwise_count(fp[lo:] ^ fp[lo - d : n - d]).sum(1, dtype="int32")
             x[t[lo:] != t[lo - d : n - d]] = 999
-            cols = np.flatnonzero(x <= distance)
+            most = np.where(short[lo:] | short[lo - d : n - d], max(distance, SHORT_DISTANCE), distance)
+            cols = np.flatnonzero(x <= most)
             if not len(cols):
                 continue
             x, y, c = x[cols], np.full(len(cols), d), cols + lo - first
@@ -154,7 +166,7 @@ def candidates(reps: DataFrame, near: int = NEAR, distance: int = DISTANCE) -> D
                 x, y = np.where(closer, was_x, x), np.where(closer, was_y, y)
         out = []
         for k in range(3):
-            for i in np.flatnonzero(dist[k] <= distance):
+            for i in np.flatnonzero(dist[k] < 999):
                 out.append((key[first + i - back[k, i]], key[first + i], int(dist[k, i])))
         crowded = np.zeros(n, bool)
         crowded[first:] = close > 3
@@ -164,14 +176,15 @@ def candidates(reps: DataFrame, near: int = NEAR, distance: int = DISTANCE) -> D
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t0, k0, f0 = np.zeros(0, "int64"), np.zeros(0, object), np.zeros((0, BITS // 64), "uint64")
+        t0, k0, f0, s0 = np.zeros(0, "int64"), np.zeros(0, object), np.zeros((0, BITS // 64), "uint64"), np.zeros(0, bool)
         for c in joined(batches):
             t = np.concatenate([t0, c["t"].to_numpy("int64")])
             key = np.concatenate([k0, c["key"].to_numpy(object)])
             fp = np.concatenate([f0, np.frombuffer(b"".join(c["fp"]), "uint64").reshape(-1, BITS // 64)])
-            out = links(t, key, fp, len(t0))
+            short = np.concatenate([s0, c["short"].to_numpy(bool)])
+            out = links(t, key, fp, short, len(t0))
             yield pd.DataFrame([(min(x, y), max(x, y), z) for x, y, z in out], columns=["a", "b", "bits"])
-            t0, k0, f0 = t[-near:], key[-near:], fp[-near:]
+            t0, k0, f0, s0 = t[-near:], key[-near:], fp[-near:], short[-near:]
 
     def joined(batches: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
         """Batches of about ``rows`` rows: a comparison of many rows at once is what is fast here."""
@@ -187,13 +200,19 @@ def candidates(reps: DataFrame, near: int = NEAR, distance: int = DISTANCE) -> D
     return e.mapInPandas(run, "a binary, b binary, bits int").groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
+def _texts_of(docs: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
+    """key, text of the ``keys``, each once. What is shuffled by a text is one row of each task."""
+    texts = docs.select(_key().alias("key"), "text")
+    if small:
+        texts = texts.join(F.broadcast(keys), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.min("text").alias("text"))
+    return texts if small else texts.join(keys, "key", "left_semi")
+
+
 def verify(links: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Of links a, b between text keys those with a Jaccard similarity of shingles that suffices."""
     ends = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    if links.count() <= MAX_BROADCAST // 2:
-        ends = F.broadcast(ends)
-    texts = docs.select(F.unhex(F.md5("text")).alias("key"), "text").join(ends, "key", "left_semi")
-    texts = stored(texts.groupBy("key").agg(F.min("text").alias("text")), "texts")
+    texts = stored(_texts_of(docs, ends, links.count() <= MAX_BROADCAST // 2), "texts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
@@ -255,8 +274,7 @@ def crowded_links(crowd: DataFrame, docs: DataFrame, similarity: float = SIMILAR
     unless their sizes or the places of that shingle rule the similarity out.
     """
     small = crowd.count() <= MAX_BROADCAST // 2
-    texts = docs.select(F.unhex(F.md5("text")).alias("key"), "text").join(F.broadcast(crowd) if small else crowd, "key")
-    texts = stored(texts.groupBy("key").agg(F.first("root").alias("root"), F.min("text").alias("text")), "crowd")
+    texts = stored(_texts_of(docs, crowd.select("key"), small).join(F.broadcast(crowd) if small else crowd, "key"), "crowd")
     e = stored(prefixes(texts, similarity), "prefixes")
     # where all have one root, nothing is left to link
     shared = e.groupBy("h").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h", "m")
@@ -309,11 +327,28 @@ def linked(comp: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct(), "components")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
-    """doc_id, key, class_id, class_key and class_docs (rows in the class) for every row of ``docs``."""
+def named_texts(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and a row for each text: key, alone, low (smallest doc_id), n (rows),
+    class_id, class_key (the text with it) and class_docs (rows in the class)."""
     sig = stored(signatures(docs, tables), "signatures")
-    reps = sig.where("fp is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("codes").alias("codes"))
-    reps = stored(reps, "reps")
+    all_reps = sig.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("codes").alias("codes"), F.first("size").alias("size"))
+    all_reps = stored(all_reps, "reps")
+    reps = all_reps.where("fp is not null")
+    if exact:
+        crowd = reps.select("key", F.col("key").alias("root"))
+        comp = components(stored(verify(stored(crowded_links(crowd, docs, similarity), "rest"), docs, similarity), "verified"))
+        comp = comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct()
+    else:
+        comp = _sampled_components(reps, docs, similarity)
+    r = all_reps.select("key", "low", "n", F.col("fp").isNull().alias("alone")).join(comp.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    r = stored(r, "rooted")
+    per = r.groupBy("root").agg(F.min("low").alias("class_id"), F.min(F.struct(F.col("low").isNull(), "low", "key")).alias("x"), F.sum("n").alias("class_docs"))
+    named = r.join(per, "root").select("key", "alone", "low", "n", "class_id", F.col("x.key").alias("class_key"), "class_docs")
+    return sig, stored(named, "named")
+
+
+def _sampled_components(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """node, root of the components of all verified links between candidates."""
     found = stored(candidates(reps), "links")
     links, crowd = found.where("a != b"), found.where("a = b").select(F.col("a").alias("key"))
     # each text's closest link first: most classes are whole then
@@ -332,34 +367,57 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLE
         crowd = crowd.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         third = stored(crowded_links(stored(crowd, "crowd"), docs, similarity), "rest")
         comp = linked(comp, stored(verify(third, docs, similarity), "verified"))
-    r = reps.select("key", "low", "n").join(comp.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    r = stored(r, "rooted")
-    per = r.groupBy("root").agg(F.min("low").alias("class_id"), F.min(F.struct(F.col("low").isNull(), "low", "key")).alias("x"), F.sum("n").alias("class_docs"))
-    named = stored(r.select("key", "root").join(per, "root").select("key", "class_id", F.col("x.key").alias("class_key"), "class_docs"), "named")
-    out = sig.select("doc_id", "key", F.col("fp").isNull().alias("alone"))
-    j = out.where("not alone").drop("alone").join(named, "key", "left")
-    single = out.where("alone").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.col("key").alias("class_key"), F.lit(1).cast("long").alias("class_docs"))
-    return j.select("doc_id", "key", "class_id", "class_key", "class_docs").unionByName(single)
+    return comp
 
 
-def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class: of the text with the smallest doc_id; all texts without words stay."""
+def by_text(rows: DataFrame, named: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """``rows`` with ``cols`` of their text in ``named``, which has all their texts.
+
+    Texts of very many rows are few, so they are broadcast and their rows stay where they are.
+    """
+    right = named.select(F.col("key").alias(key), *cols)
+    texts, total = named.agg(F.count("*"), F.sum("n")).first()
+    if texts <= MAX_BROADCAST:
+        return rows.join(F.broadcast(right), key)
+    hot = F.col("n") > max(1000, total // HOT_TEXTS)  # so at most HOT_TEXTS texts
+    many, few = named.where(hot).select(F.col("key").alias(key), *cols), named.where(~hot).select(F.col("key").alias(key), *cols)
+    return rows.join(F.broadcast(many), key).unionByName(rows.join(F.broadcast(many.select(key)), key, "left_anti").join(few, key))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES, exact: bool = False) -> DataFrame:
+    """doc_id, key, class_id, class_key and class_docs (rows in the class) for every row of ``docs``.
+
+    ``exact`` joins all texts, not only crowded ones, by prefixes of their shingles, so that no link is
+    left to chance; it shuffles about a fifth of all shingles.
+    """
+    sig, named = named_texts(docs, similarity, tables, exact)
+    j = by_text(sig.select("doc_id", "key"), named, "key", ["alone", "class_id", "class_key", "class_docs"])
+    one = F.lit(1).cast("long")
+    return j.select("doc_id", "key", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key", F.when(F.col("alone"), one).otherwise(F.col("class_docs")).alias("class_docs"))
+
+
+def dedup(docs: DataFrame, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+    """One row of each class: of the text with the smallest doc_id; all texts without words stay.
+
+    Of rows equal in text and id the one with the least hash of all columns stays.
+    """
     cols = docs.columns
-    c = classes(docs, similarity)
-    keep = c.where("class_docs > 1 and key = class_key").groupBy("key").agg(F.min("doc_id").alias("__id"))
-    keep = keep.withColumn("__keeps", F.lit(True))  # the smallest id of a kept text can be null
-    lost = c.where("class_docs > 1").select(F.col("key").alias("__key")).distinct()
-    lost = lost.join(keep.withColumnRenamed("key", "__key"), "__key", "left")
-    lost = stored(lost.withColumn("__keeps", F.coalesce("__keeps", F.lit(False))), "doubled")
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.unhex(F.md5("text")).alias("__key"), F.col("doc_id").alias("__doc"))
-    twins = c.where("class_docs > 1 and key = class_key").groupBy("key", "doc_id").count().where("count > 1")
-    if lost.count() <= MAX_BROADCAST:
-        lost = F.broadcast(lost)
-    j = d.join(lost, "__key", "left").where("__keeps is null or (__keeps and __doc <=> __id)")
-    if twins.isEmpty():
+    sig, named = named_texts(docs, similarity, exact=exact)
+    single = F.col("alone") | (F.col("class_docs") == 1)
+    named = named.withColumn("keeps", F.when(single, F.lit("all")).when(F.col("key") == F.col("class_key"), F.lit("one")).otherwise("none"))
+    named = named.withColumnRenamed("low", "__id").withColumnRenamed("keeps", "__keeps")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), _key().alias("__key"), F.col("doc_id").alias("__doc"))
+    doubled = named.where("__keeps != 'all'")
+    if doubled.count() <= MAX_BROADCAST:
+        j = d.join(F.broadcast(doubled.select(F.col("key").alias("__key"), "__keeps", "__id")), "__key", "left").withColumn("__keeps", F.coalesce("__keeps", F.lit("all")))
+    else:
+        j = by_text(d, named, "__key", ["__keeps", "__id"])
+    j = j.where("__keeps = 'all' or (__keeps = 'one' and __doc <=> __id)")
+    if sig.where("fp is not null").groupBy("key", "doc_id").count().where("count > 1").isEmpty():
         return j.select("__row.*")
-    # rows that are equal in text and id: one of them stays
-    return j.where("__keeps is null").select("__row.*").unionByName(j.where("__keeps").dropDuplicates(["__key"]).select("__row.*"))
+    tie = F.xxhash64(*[F.col("__row").getField(c) for c, t in docs.dtypes if "map<" not in t])
+    one = j.where("__keeps = 'one'").groupBy("__key").agg(F.min_by("__row", tie).alias("__row"))
+    return j.where("__keeps = 'all'").select("__row.*").unionByName(one.select("__row.*"))
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:
