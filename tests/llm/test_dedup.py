@@ -50,3 +50,28 @@ def test_pairs_beyond_the_window(spark, monkeypatch):
     assert crowd.count() == n
     joined = {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in simhash.crowded_links(crowd, docs).collect()}
     assert planted <= joined and len(joined) < 2 * pairs
+
+
+def test_exact_and_hot_ways_give_the_same_classes(spark, monkeypatch):
+    texts = template_group(120, 30) + ["a b c d e f g h", "a b c d e f g h i", "", None] + ["hot text of many rows"] * 1200 + [""] * 1100
+    d = spark.createDataFrame(list(enumerate(texts)), DOC)
+    want = {r.doc_id: (r.class_id, r.class_docs) for r in simhash.classes(d).collect()}
+    assert want[121] == (120, 2) and want[124] == want[1323] == (124, 1200) and want[1400] == (1400, 1) and want[123] == (123, 1)
+    assert {r.doc_id: (r.class_id, r.class_docs) for r in simhash.classes(d, exact=True).collect()} == want
+    left = sorted(r.doc_id for r in simhash.dedup(d).collect())
+    monkeypatch.setattr(simhash, "MAX_BROADCAST", 1)
+    assert {r.doc_id: (r.class_id, r.class_docs) for r in simhash.classes(d).collect()} == want
+    assert sorted(r.doc_id for r in simhash.dedup(d).collect()) == left == sorted({c for c, _ in want.values()})
+
+
+def test_rows_equal_in_text_and_id(spark):
+    rows = [(1, "one two three four five six", x, "k") for x in "abc"] + [(2, "one two three four five six", "d", "k"), (3, "other words", "e", "k")]
+    d = spark.createDataFrame(rows, DOC + ", source string, key string")
+    left = {tuple(r) for r in simhash.dedup(d).collect()}
+    assert len(left) == 2 and {r[0] for r in left} == {1, 3} and left == {tuple(r) for r in simhash.dedup(d.repartition(3, "source")).collect()}
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    d = spark.createDataFrame([(1, long), (2, long + " more"), (3, "x" * 1_000_000), (4, "short")], DOC)
+    assert {r.doc_id: r.class_id for r in simhash.classes(d).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
