@@ -6,12 +6,15 @@ vocabulary (the forward algorithm); a text's score is the product over its words
 are scored once for each batch of texts and kept in a bounded cache. Piece probabilities are
 fitted by expectation-maximisation over all segmentations of the training words.
 
-Training reads a sample of about ``MAX_DOCS`` labelled documents of each language (drawn by a
-hash of the id) and words of at most ``TRAIN_LEN`` signs from them; every text is scored whole.
+Training reads a sample of about ``MAX_DOCS`` labelled documents of each language, of all
+languages (drawn by a hash of the id); words of more than ``TRAIN_LEN`` signs are learned in
+parts of that length. Every text is scored whole.
 
 Defined cases: null text, or text without a letter, gives ``und`` with score 0; a null lang is
-never learned from; a null doc_id is not held out; repeated rows are scored one by one; with
-no labelled document every text is ``und``.
+never learned from; a null doc_id is not held out; repeated rows are scored one by one; a very
+long word, such as a text without spaces, is cut into blocks whose sums are joined exactly; with
+no labelled document, or an empty table, every text is ``und``; further columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import doc_bucket, map_texts
 
 FOLDS, HELD_OUT = 3, 1
-MAX_DOCS, MAX_LANGS, TRAIN_LEN, ROUNDS = 800, 200, 24, 3
-PIECE_LEN = 12
+MAX_DOCS, TRAIN_LEN, ROUNDS = 800, 24, 3
+PIECE_LEN = 17  # the longest piece of the default vocabulary, with the word-begin sign
+LONG, BLOCK = 2000, 512  # signs of a word that is taken in blocks
 CACHE = 300_000
 _BASE = np.uint64(1_099_511_628_211)
 
@@ -53,7 +57,9 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         every = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        texts = sorted({p for p in every if 0 < len(p) <= PIECE_LEN})
+        texts = sorted({p for p in every if p})
+        if len(max(texts, key=len)) > PIECE_LEN:
+            raise ValueError(f"a piece of {path} is longer than {PIECE_LEN} signs")
         self.n = len(texts)  # id n: an unknown sign; n + 1: no piece
         self.hashes, self.ids = np.array([self.hash(p) for p in texts], "uint64"), np.arange(self.n, dtype="int32")
         self.tables = _place(self.hashes, self.ids)
@@ -133,9 +139,13 @@ def forward(pieces: Pieces, probs: np.ndarray, batch: list[str]) -> np.ndarray:
     order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
     at = 0
     while at < len(order):
+        if len(batch[order[at]]) > LONG:
+            out[order[at]] = _forward_long(pieces, probs, batch[order[at]])
+            at += 1
+            continue
         longest = len(batch[order[at]]) * 5 // 4 + 2  # words of similar length together, about 1M signs at once
         end = at + 1
-        while end < len(order) and len(batch[order[end]]) <= longest and (end - at) * len(batch[order[end]]) < 1_000_000:
+        while end < len(order) and len(batch[order[end]]) <= min(longest, LONG) and (end - at) * len(batch[order[end]]) < 1_000_000:
             end += 1
         own = order[at:end]
         out[own] = _forward(pieces, probs, [batch[i] for i in own])
@@ -176,6 +186,54 @@ def _forward(pieces: Pieces, probs: np.ndarray, batch: list[str]) -> np.ndarray:
     return out
 
 
+def _transfer(ids: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each block the linear map from the sums at the PIECE_LEN places up to its start to those up to
+    its end, for each language, and ln of what it is scaled by. ``ids``: length of piece x block x place."""
+    n, size, g = ids.shape[1], ids.shape[2], probs.shape[1]
+    w = np.zeros((PIECE_LEN, n, PIECE_LEN, g))  # by place modulo PIECE_LEN, block, start
+    for j in range(PIECE_LEN):
+        w[-j % PIECE_LEN, :, j] = 1
+    shift = np.zeros((n, g))
+    for t in range(1, size + 1):
+        new = np.zeros((n, PIECE_LEN, g))
+        for k in range(1, PIECE_LEN + 1):
+            p = probs[ids[k - 1, :, t - 1]]
+            use = np.flatnonzero(p.any(1))
+            if len(use):
+                new[use] += w[(t - k) % PIECE_LEN, use] * p[use, None]
+        w[t % PIECE_LEN] = new
+        if t % 8 == 0 or t == size:
+            top = np.maximum(w.max((0, 2)), 1e-300)
+            w /= top[None, :, None]
+            shift += np.log(top)
+    return np.stack([w[(size - o) % PIECE_LEN] for o in range(PIECE_LEN)], 1), shift
+
+
+def _forward_long(pieces: Pieces, probs: np.ndarray, word: str, chunk: int = 200_000) -> np.ndarray:
+    """``forward`` of one long word, with many of its blocks at once."""
+    c = np.frombuffer(("▁" + word).encode("utf-32-le", "surrogatepass"), "uint32").astype("uint64") + np.uint64(1)
+    state, shift = np.zeros((PIECE_LEN, probs.shape[1])), np.zeros(probs.shape[1])
+    state[0] = 1
+    for lo in range(0, len(c), chunk):
+        hi = min(lo + chunk, len(c))
+        h, ids = np.zeros(hi - lo, "uint64"), np.empty((PIECE_LEN, hi - lo), "int32")
+        for k in range(1, PIECE_LEN + 1):  # the pieces of k signs that end at each place
+            miss = min(max(0, k - 1 - lo), hi - lo)
+            h[miss:] += c[max(0, lo - k + 1) : hi - k + 1] * _POW[k - 1] if hi - k + 1 > 0 else np.uint64(0)
+            ids[k - 1] = pieces.find(h, k)
+            ids[k - 1, :miss] = pieces.n + 1
+        whole = (hi - lo) // BLOCK * BLOCK
+        parts = [ids[:, :whole].reshape(PIECE_LEN, -1, BLOCK)] if whole else []
+        parts += [ids[:, None, whole:]] if whole < hi - lo else []
+        for part in parts:
+            m, more = _transfer(part, probs)
+            for b in range(len(m)):
+                state = np.einsum("ojg,jg->og", m[b], state)
+                top = np.maximum(state.max(0), 1e-300)
+                state, shift = state / top, shift + more[b] + np.log(top)
+    return np.log(np.maximum(state[0], 1e-300)) + shift
+
+
 def fit(counts: dict[str, dict[str, int]], path: str, rounds: int = ROUNDS) -> Model:
     """EM over all segmentations of each language's words."""
     pieces = Pieces(path)
@@ -221,18 +279,18 @@ def train(docs: DataFrame, vocabulary: str | None = None, max_docs: int = MAX_DO
     """Fit on about ``max_docs`` documents of each language outside the held-out fold."""
     path = vocabulary or default_vocabulary()
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (doc_bucket("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # languages
     if not sizes:
         return Model([], np.zeros((1, 0)), path)
-    share = F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, max_docs / v)))]), F.col("lang"))
-    drawn = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_003)) < share * 1_000_003
-    sample = own.where(F.col("lang").isin(list(sizes))).where(drawn)
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, max_docs / v)) for k, v in sizes.items()], "lang string, share double")
+    sample = own.join(F.broadcast(shares), "lang")  # a row for each language
+    sample = sample.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter[tuple[str, str]] = Counter()
         for b in batches:
             for lang, t in zip(b["lang"], b["text"], strict=True):
-                c.update((lang, w) for w in words(t) if len(w) < TRAIN_LEN)
+                c.update((lang, w[i : i + TRAIN_LEN]) for w in words(t) for i in range(0, len(w), TRAIN_LEN))
         yield pd.DataFrame([(a, w, n) for (a, w), n in c.items()], columns=["lang", "word", "n"])
 
     rows = map_texts(sample.select("lang", "text"), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
