@@ -3,11 +3,13 @@
 The forest sees a candidate's length, its character transitions and entropy, how much of it a
 small dictionary covers, whether it stands in a path, and the words next to it. It is trained
 in numpy from labelled findings: a table of (text, start, end, label), at most
-``MAX_FINDINGS`` rows; without one, a seeded set of findings as they occur in code,
+``MAX_FINDINGS`` rows (about as many, drawn by a hash); without one, a seeded set of findings as they occur in code,
 configuration and prose. Texts are scanned whole, each on its own, a batch at a time.
 
-Defined cases: null or empty text has no candidate; overlapping candidates keep the first,
-longest one; repeated rows are scanned one by one; further columns are left alone.
+Defined cases: null or empty text has no candidate; a very long text or candidate is read
+whole; overlapping candidates keep the first, longest one; repeated rows are scanned one by
+one; a null doc_id is kept; an empty table gives an empty result; further columns, whatever
+their names, are left alone.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ MASK = "[SECRET]"
 
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 _ASSIGNED = re.compile(
-    r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth|api[_\-]?key|access[_\-]?key|private[_\-]?key)[\"']?\s*(?:=>|[:=])\s*[\"']([^\"'\s]{6,200})[\"']"
+    r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth|api[_\-]?key|access[_\-]?key|private[_\-]?key)[\"']?\s*(?:=>|[:=])\s*(?:[\"']([^\"'\s]{6,})[\"']|([^\"'\s,;()\[\]{}<>]{6,}))"
 )
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
 _DIGIT = re.compile(r"[0-9]")
@@ -50,7 +52,8 @@ FEATURES = "length digits uppers lowers others transitions entropy hexadecimal u
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the candidates, in order and disjoint."""
     out = [(m.start(), m.end(), "private_key") for m in _PEM.finditer(text)] if "-----BEGIN " in text else []
-    out += [(m.start(1), m.end(1), "assigned") for m in _ASSIGNED.finditer(text)] if '"' in text or "'" in text else []
+    if ":" in text or "=" in text:
+        out += [(*m.span(m.lastindex), "assigned") for m in _ASSIGNED.finditer(text)]
     for m in _RUN.finditer(text):
         if _DIGIT.search(m[0]) or _PREFIXED.match(m[0]):
             out.append((m.start(), m.end(), "random"))
@@ -81,9 +84,9 @@ def _kind(c: str) -> int:
 
 
 def features(text: str, start: int, end: int) -> list[float]:
-    s = text[start : min(end, start + 400)]
+    s = text[start:end]
     n = max(1, len(s))
-    kinds = [_kind(c) for c in s]
+    kinds = list(map(_kind, s))
     freq = np.bincount(np.frombuffer(s.encode("utf-8", "replace"), "uint8"), minlength=1)
     freq = freq[freq > 0] / max(1, freq.sum())
     run = best = 1
@@ -199,9 +202,18 @@ def labelled_findings(n: int = 3000, seed: int = 17) -> list[tuple[str, int, int
             lambda: "sk-" + pick(low + up + dig, 40),
             lambda: "xoxb-" + pick(dig, 12) + "-" + pick(low + up + dig, 24),
             lambda: "AIza" + pick(low + up + dig + "_-", 35),
-        ][rng.integers(10)]()
+            lambda: pick(low, rng.integers(12, 32)),
+            lambda: str(rng.choice(vocab)) + pick(dig, rng.integers(1, 5)) + str(rng.choice(vocab)),
+            lambda: pick(low, rng.integers(5, 9)) + pick(dig, rng.integers(1, 4)) + pick(low + "!@#%", rng.integers(2, 7)),
+        ][rng.integers(13)]()
         name = str(rng.choice(["token", "api_key", "secret", "password", "access_token", "client_secret", "auth_token", "key", "TOKEN", "apiKey", "SECRET_KEY"]))
-        form = rng.integers(6)
+        form = rng.integers(8)
+        if len(body) < 18 or body.isalpha():  # no run of signs that shows by itself
+            form = rng.integers(4) if rng.random() < 0.6 else 7
+        if form == 7:
+            return f"{name}{rng.choice(['=', ' = ', ': '])}", body, ""
+        if form == 6:
+            return f"{name.upper()}=", body, ""
         if form < 3:
             return f'{name}{rng.choice([" = ", "=", ": "])}"', body, '"'
         if form == 3:
@@ -211,7 +223,7 @@ def labelled_findings(n: int = 3000, seed: int = 17) -> list[tuple[str, int, int
         return f"{name} is ", body, " "
 
     def bad() -> tuple[str, str, str]:
-        form = rng.integers(11)
+        form = rng.integers(13)
         hx = pick(hexa, rng.choice([32, 40, 64]))
         if form == 0:
             return f"{rng.choice(['commit', 'sha1:', 'rev', 'checksum', 'md5', 'sha256:', 'digest', 'revision'])} ", hx, ""
@@ -234,6 +246,15 @@ def labelled_findings(n: int = 3000, seed: int = 17) -> list[tuple[str, int, int
             return " ", "".join(str(w).capitalize() for w in rng.choice(vocab, 3)) + pick(dig, 1), "("
         if form == 9:
             return "integrity ", "sha512-" + pick(b64, 86), "=="
+        if form >= 11:
+            name = str(rng.choice(["token", "password", "api_key", "secret", "auth", "credential", "TOKEN"]))
+            value = [
+                lambda: str(rng.choice(["required", "string", "optional", "undefined", "missing", "invalid", "unknown", "hidden", "disabled", "changed", "expired", "number", "getenv", "prompt", "varchar"])),
+                lambda: str(rng.choice(vocab)) + str(rng.choice([".", "_", "-"])) + str(rng.choice(vocab)),
+                lambda: str(rng.choice(["os.environ", "self.token", "config.secret", "$SECRET_TOKEN", "${PASSWORD}", "request.headers", "args.password", "********", "xxxxxxxx", "..........", "$1_password"])),
+                lambda: str(rng.choice(vocab)) + "." if rng.random() < 0.5 else str(rng.choice([w for w in vocab if len(w) > 5])),
+            ][rng.integers(4)]()
+            return f"{name}{rng.choice(['=', ' = ', ': ', ': '])}", value, ""
         return f'"{rng.choice(["etag", "hash", "version", "build", "fingerprint"])}": "', hx, '"'
 
     out = []
@@ -255,7 +276,11 @@ def train(findings: DataFrame | None = None) -> Forest:
             rows = labelled_findings()
             _FOREST.append(grow(np.array([features(t, a, b) for t, a, b, _ in rows], float), np.array([r[3] for r in rows], float)))
         return _FOREST[0]
-    rows = [(r["text"], r["start"], r["end"], r["label"]) for r in findings.dropna().limit(MAX_FINDINGS).collect()]
+    own = findings.select("text", "start", "end", "label").dropna()
+    n = own.count()
+    if n > MAX_FINDINGS:  # about as many, drawn by a hash
+        own = own.where(F.pmod(F.xxhash64("text", "start", "end"), F.lit(1_000_003)) < int(1_000_003 * MAX_FINDINGS / n))
+    rows = sorted((r["text"], r["start"], r["end"], r["label"]) for r in own.collect())
     return grow(np.array([features(t, a, b) for t, a, b, _ in rows], float), np.array([r[3] for r in rows], float))
 
 
