@@ -43,6 +43,7 @@ DISTANCE = 58
 SHORT, SHORT_DISTANCE = 8, 75
 MAX_BROADCAST = 500_000  # keys of 16 bytes
 HOT_TEXTS = 200_000  # texts of very many rows
+FEW_TEXTS = 100_000  # texts with their class, about 100 bytes each
 BLOCK = 1000  # texts with a common shingle that one join key holds
 SKETCH = 1 << 18  # counts of shingles by their lowest bits, which order them
 
@@ -377,7 +378,7 @@ def by_text(rows: DataFrame, named: DataFrame, key: str, cols: list[str]) -> Dat
     """
     right = named.select(F.col("key").alias(key), *cols)
     texts, total = named.agg(F.count("*"), F.sum("n")).first()
-    if texts <= MAX_BROADCAST:
+    if texts <= FEW_TEXTS:
         return rows.join(F.broadcast(right), key)
     hot = F.col("n") > max(1000, total // HOT_TEXTS)  # so at most HOT_TEXTS texts
     many, few = named.where(hot).select(F.col("key").alias(key), *cols), named.where(~hot).select(F.col("key").alias(key), *cols)
