@@ -60,6 +60,7 @@ def test_exact_and_hot_ways_give_the_same_classes(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.class_docs) for r in simhash.classes(d, exact=True).collect()} == want
     left = sorted(r.doc_id for r in simhash.dedup(d).collect())
     monkeypatch.setattr(simhash, "MAX_BROADCAST", 1)
+    monkeypatch.setattr(simhash, "FEW_TEXTS", 1)
     assert {r.doc_id: (r.class_id, r.class_docs) for r in simhash.classes(d).collect()} == want
     assert sorted(r.doc_id for r in simhash.dedup(d).collect()) == left == sorted({c for c, _ in want.values()})
 

@@ -178,6 +178,8 @@ def test_secret_cases(spark):
     red = {r.doc_id: r.text for r in secrets.redact(d).collect()}
     assert red[3] == f'see token = "{secrets.MASK}" and go' and red[0] is None and red[4] == texts[4]
     assert secrets.redact(d).columns == d.columns and secrets.scan(d.limit(0)).count() == 0
+    plain = frame_of(spark, ["password=hunter2secret", "export TOKEN=abqdefzhijxlmnop", "the password: required field", "api_key = '" + key * 20 + "'", "token: string", "x" * 50_000 + "1"])
+    assert [r.n_secrets for r in secrets.scan(plain).orderBy("doc_id").collect()] == [1, 1, 0, 1, 0, 0]
     own = spark.createDataFrame(secrets.labelled_findings(300), "text string, start int, end int, label int")
     assert secrets.train(own).trees
 
@@ -263,12 +265,34 @@ def test_forward_sums_all_segmentations():
     for w in ("the", "für", "añoß", "x日y", "z" * 9):
         total = np.zeros(2)
         for parts in all_cuts("▁" + w):
-            ids = [names.get(int(langid.Pieces.hash(p)), pieces.n if len(p) == 1 else pieces.n + 1) for p in parts if len(p) <= langid.PIECE_LEN]
-            if len(ids) == len(parts):
-                total += np.prod(probs[ids], 0)
+            ids = [names.get(int(langid.Pieces.hash(p)), pieces.n if len(p) == 1 else pieces.n + 1) for p in parts]
+            total += np.prod(probs[ids], 0)
         assert langid.forward(pieces, probs, [w])[0] == pytest.approx(np.log(total))
     long = langid.forward(pieces, probs, ["ab" * 20_000, "a"])
     assert np.isfinite(long).all() and (long[0] < -1000).all()
+    # blocks give what going through the word sign by sign gives
+    words = ["".join(rng.choice(list("abdeinrst日ñ"), n)) for n in (3, 40, 700, 1999)] + ["relationship" * 90]
+    for size in (7, 64, 512):
+        langid.BLOCK = size
+        for w in words:
+            assert langid._forward_long(pieces, probs, w, 300) == pytest.approx(langid._forward(pieces, probs, [w])[0])
+    assert np.isfinite(langid.forward(pieces, probs, ["日本語の" * 250_000])).all()  # a text of 1M signs without spaces
+
+
+def test_many_languages_and_long_words(spark):
+    """300 languages, each with its own letters; the rarest with long words only."""
+    def text(k, n):
+        rng = np.random.default_rng(k)
+        letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6, replace=False)
+        r = np.random.default_rng(1000 * k + n)
+        return " ".join("".join(r.choice(letters, 30 if k == 0 else 6)) for _ in range(80))
+
+    rows = [(10 * k + n, text(k, n), f"l{k}", "s", "k") for k in range(300) for n in range(4)]
+    d = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r for r in langid.identify(d, langid.train(d)).collect()}
+    held = [(r.lang_pred, f"l{i // 10}") for i, r in got.items() if r.held_out]
+    assert len(held) > 300 and np.mean([a == b for a, b in held]) > 0.9
+    assert got[1].lang_pred == "l0"
 
 
 def test_language_held_out(spark):
