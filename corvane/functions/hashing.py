@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -37,6 +38,19 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+def fnv1a_many(parts: list[bytes]) -> np.ndarray:
+    """FNV-1a of many byte strings at once; none may hold a zero byte."""
+    if not parts:
+        return np.zeros(0, "uint64")
+    table = np.array(parts, "S")
+    size = np.fromiter(map(len, parts), "int64", len(parts))
+    table = table.view("uint8").reshape(len(parts), -1)
+    h = np.full(len(parts), _OFFSET, "uint64")
+    for i in range(table.shape[1]):
+        h = np.where(i < size, (h ^ table[:, i]) * np.uint64(_PRIME), h)
+    return h
+
+
 class HashingEmbedder:
     """Unit vectors of texts; a token's features are computed once and kept, within a bound."""
 
@@ -44,26 +58,48 @@ class HashingEmbedder:
         self.config, self.split, self.keep = config, split, keep
         self.cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-    def _features(self, token: str) -> tuple[np.ndarray, np.ndarray]:
-        low = "".join(c.lower() for c in token)  # sign by sign, so that a final sigma stays one form
-        bounded = f"<{low}>"
-        parts = [(low, self.config.token_weight)] if self.config.token_weight > 0 else []
-        parts += [(bounded[i : i + n], 1.0) for n in self.config.ngrams for i in range(len(bounded) - n + 1)]
-        hashes = [fnv1a(p.encode()) for p, _ in parts]
-        at = np.array([h % self.config.dim for h in hashes], "int64")
-        return at, np.array([-w if h >> 63 else w for h, (_, w) in zip(hashes, parts, strict=True)], float)
+    def _learn(self, tokens: list[str]) -> None:
+        """Features of tokens that are not known yet, hashed together."""
+        if len(self.cache) + len(tokens) > self.keep:
+            self.cache.clear()
+        parts, weights, ends = [], [], []
+        for token in tokens:
+            low = "".join(c.lower() for c in token)  # sign by sign, so that a final sigma stays one form
+            bounded = f"<{low}>"
+            if self.config.token_weight > 0:
+                parts.append(low.encode())
+                weights.append(self.config.token_weight)
+            for n in self.config.ngrams:
+                own = [bounded[i : i + n].encode() for i in range(len(bounded) - n + 1)]
+                parts += own
+                weights += [1.0] * len(own)
+            ends.append(len(parts))
+        h = fnv1a_many(parts)
+        at = (h % np.uint64(self.config.dim)).astype("int64")
+        value = np.where(h >> np.uint64(63), -np.array(weights, float), np.array(weights, float))
+        for token, lo, hi in zip(tokens, [0, *ends], ends, strict=False):
+            self.cache[token] = at[lo:hi], value[lo:hi]
 
     def embed(self, text: str | None) -> np.ndarray:
-        row = np.zeros(self.config.dim)
-        for token in self.split(text or ""):
-            f = self.cache.get(token)
-            if f is None:
-                if len(self.cache) >= self.keep:
-                    self.cache.clear()
-                f = self.cache[token] = self._features(token)
-            np.add.at(row, *f)
-        norm = float(np.sqrt((row * row).sum()))
-        return row / norm if norm > 0 else row
+        return self.embed_many([text])[0]
+
+    def _rows(self, texts: list[str | None]) -> np.ndarray:
+        dim = self.config.dim
+        counts = [Counter(self.split(t or "")) for t in texts]
+        every = set().union(*counts)
+        if new := [t for t in every if t not in self.cache]:
+            self._learn(new)
+            if any(t not in self.cache for t in every):  # the cache was emptied in between
+                self._learn(list(every))
+        out = np.zeros((len(texts), dim))
+        for i, c in enumerate(counts):
+            if c:
+                own = [self.cache[t] for t in c]
+                times = np.repeat(np.fromiter(c.values(), float, len(c)), [len(x) for x, _ in own])
+                out[i] = np.bincount(np.concatenate([x for x, _ in own]), np.concatenate([w for _, w in own]) * times, dim)
+        norm = np.sqrt((out * out).sum(1, keepdims=True))
+        return out / np.where(norm > 0, norm, 1.0)
 
     def embed_many(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        return [self.embed(t) for t in texts]
+        texts = list(texts)
+        return [row for at in range(0, len(texts), 200) for row in self._rows(texts[at : at + 200])]

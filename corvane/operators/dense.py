@@ -1,7 +1,7 @@
 """Exact vector search.
 
 Queries are blocks of a broadcast matrix, tables are streamed past them: each batch of vectors
-is one matrix product, and only the best ``k`` of each batch leave the task. No pair of a
+is one matrix product, and only the best ``k`` of all its batches leave a task. No pair of a
 vector and a query becomes a row. Query sets beyond ``BLOCK`` vectors are searched block by block.
 """
 
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DimensionMismatch
 from ..registry import REGISTRY
+from ..storage import stored
 from .bm25 import top
 
-BLOCK = 20_000
+BLOCK, CHUNK = 20_000, 2048
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,26 @@ def _matrix(rows: list, dim: int) -> np.ndarray:
     for r in rows:
         if len(r) != dim:
             raise DimensionMismatch(dim, len(r))
-    return np.array(rows, float).reshape(-1, dim)
+    return np.stack(rows).astype(float) if len(rows) else np.zeros((0, dim))
+
+
+def _best(held, ids: np.ndarray, scores: np.ndarray, k: int):
+    """query, id and score of the ``k`` best of each query, from those held and a chunk with sorted ids."""
+    if k <= 0:
+        return None
+    n = scores.shape[1]
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    q, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    d, s = ids[at], scores[q, at]
+    if held is not None:
+        q, d, s = (np.concatenate(x) for x in zip(held, (q, d, s), strict=True))
+    by_id = np.argsort(d, kind="stable")
+    q, d, s = q[by_id], d[by_id], s[by_id]
+    order = np.lexsort((-s, q))  # stable: equal ones stay by id
+    q, d, s = q[order], d[order], s[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, "int64")
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    return q[rank < k], d[rank < k], s[rank < k]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", vec: str = "embedding", qid: str = "qid", exclude_self: bool = False) -> DataFrame:
@@ -82,24 +102,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, dim=dim) -> Iterator[pd.DataFrame]:
             ids, mat = shared.value
+            place = {x: i for i, x in enumerate(ids)}
+            best = None  # query, id, score of the best k of each query so far
             for b in batches:
-                for at in range(0, len(b), 2048):
-                    c = b.iloc[at : at + 2048]
-                    v = _matrix(list(c["v"]), dim)
+                for at in range(0, len(b), CHUNK):
+                    c = b.iloc[at : at + CHUNK]
+                    v = _matrix(c["v"].to_numpy(), dim)
                     if metric == "cosine":
                         length = np.sqrt((v * v).sum(1, keepdims=True))
                         v = v / np.where(length == 0, 1.0, length)
-                    s = np.round(mat @ v.T, 6)
-                    rows = []
                     own = c["id"].to_numpy()
                     order = np.argsort(own, kind="stable")
-                    for i, row in enumerate(s):
-                        best = order[np.argsort(-row[order], kind="stable")]
-                        if exclude_self:
-                            best = best[own[best] != ids[i]]
-                        rows += [(ids[i], own[j], float(row[j])) for j in best[:k]]
-                    yield pd.DataFrame(rows, columns=["qid", "doc_id", "score"])
-
+                    own, s = own[order], np.round(mat @ v[order].T, 6)
+                    if exclude_self:
+                        for j, x in enumerate(own):
+                            if x in place:
+                                s[place[x], j] = -np.inf
+                    best = _best(best, own, s, k)
+            if best is not None:
+                q, d, score = best
+                yield pd.DataFrame({"qid": np.array(ids, object)[q], "doc_id": d, "score": score})
+
+        if len(block) == BLOCK and out is None:
+            vectors = stored(vectors.select(id_col, vec), "vectors")  # further blocks read them again
         part = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).mapInPandas(run, f"qid {q_type}, doc_id {id_type}, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:

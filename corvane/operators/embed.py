@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ class OpenAiEmbedder:
 
     def embed_many(self, texts: list[str | None]) -> list[list[float]]:
         c, out = self.config, []
-        http = self.http or P.transport(c.cache or None, c.requests_per_minute, P.HttpClient(c.timeout_secs))
+        http = P.shared_transport(c.cache, c.requests_per_minute, c.timeout_secs, self.http)
         key = self.key or P.api_key(c.api_key_env)
         for at in range(0, len(texts), c.max_batch):
             part = [t or "" for t in texts[at : at + c.max_batch]]
@@ -81,7 +82,7 @@ def embed(df: DataFrame, name: str = "hashing", config: dict | None = None, text
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = made if component else REGISTRY.build("embedder", name, config)
         for s in batches:
-            yield pd.Series([list(map(float, v)) for v in own.embed_many(list(s))])
+            yield pd.Series([np.asarray(v, "float32") for v in own.embed_many(list(s))])
 
     return df.withColumn(into, run(F.col(text)))
 

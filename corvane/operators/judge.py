@@ -151,7 +151,7 @@ class TypedJudge:
 
     def _ask(self, state: dict, questions: dict) -> dict:
         c = self.config
-        http = self.http or P.transport(c.cache or None, c.requests_per_minute, P.HttpClient(c.timeout_secs))
+        http = P.shared_transport(c.cache, c.requests_per_minute, c.timeout_secs, self.http)
         return P.ask(http, c.endpoint, self.key or P.api_key(c.api_key_env), {"model": c.model, "state": state, "questions": questions}, c.retry).get("answers", {})
 
     def rerank(self, query: str, candidates: list[str]) -> list[float]:

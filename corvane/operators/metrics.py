@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.hints import small
+from ..storage import stored
+
 
 def recall_at(ranked: Column, gold: Column, k: int) -> Column:
     return F.when(F.size(gold) > 0, F.size(F.array_intersect(F.slice(ranked, 1, k), gold)) / F.size(F.array_distinct(gold))).otherwise(F.lit(0.0))
@@ -86,7 +89,7 @@ def risk_curve(outcomes: DataFrame, order: str = "qid") -> DataFrame:
     """
     n = outcomes.select(F.count("*").alias("n"))
     a = outcomes.where(~F.col("abstained") & F.col("confidence").isNotNull()).select(F.col(order).alias("o"), F.col("confidence").alias("c"), (~F.col("correct")).cast("long").alias("e"))
-    ranged = a.repartitionByRange("c", "o").withColumn("p", F.spark_partition_id())
+    ranged = stored(a.repartitionByRange("c", "o").withColumn("p", F.spark_partition_id()), "ranged")  # so that all see the same parts
     inside = W.partitionBy("p").orderBy(F.desc("c"), "o")
     r = ranged.withColumn("i", F.row_number().over(inside)).withColumn("errors", F.sum("e").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
     parts = r.groupBy("p").agg(F.max("i").alias("n_p"), F.sum("e").alias("e_p"))
@@ -113,12 +116,18 @@ PERCENTILES = (0.50, 0.95, 0.99)
 def percentiles(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """by, p50, p95, p99, mean: the value at place min(n - 1, floor(q n)) of the sorted values.
 
-    Places come from counts of distinct values, so a group is never gathered in one list.
+    Places come from counts of distinct values in ranges of values, so no task has a whole group.
     """
     by = list(by)
     c = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    c = stored(c.repartitionByRange(*by, "v").withColumn("p", F.spark_partition_id()), "counts")
+    parts = c.groupBy(*by, "p").agg(F.sum("c").alias("c_p"))  # a row for each group and partition
     w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    c = c.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
+    parts = parts.withColumn("skip", F.sum("c_p").over(w.orderBy("p")) - F.col("c_p")).withColumn("n", F.sum("c_p").over(w))
+    parts = parts.select(*[F.col(x).alias(f"_by{i}") for i, x in enumerate(by)], F.col("p").alias("_p"), "skip", "n")
+    same = [F.col(x).eqNullSafe(F.col(f"_by{i}")) for i, x in enumerate(by)] + [F.col("p") == F.col("_p")]
+    c = c.join(small(parts), reduce(lambda x, y: x & y, same))
+    c = c.withColumn("upto", F.col("skip") + F.sum("c").over(W.partitionBy(*by, "p").orderBy("v")))
     at = [F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))) for q in PERCENTILES]
     picks = [F.min(F.when(F.col("upto") > a, F.col("v"))).alias(f"p{int(q * 100)}") for q, a in zip(PERCENTILES, at, strict=True)]
     return c.groupBy(*by).agg(*picks, (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))

@@ -98,7 +98,11 @@ def postings_tf(spark, d):
     return bm25.postings(docs(spark, d), tokenize.build("simple")).select("doc_id", "term", "tf")
 
 
-@query("unicode_tokens")
+#: Signs that join letters, and signs that join digits, are no boundaries.
+_JOINED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([\p{L}_])[''’.:·‧․‘]([\p{L}])', '\1\2', 'g'), '([\p{L}_])[''’.:·‧․‘]([\p{L}])', '\1\2', 'g'), '(\p{N})[.,;''’]([\p{N}])', '\1\2', 'g'), '(\p{N})[.,;''’]([\p{N}])', '\1\2', 'g')"""
+
+
+@query("unicode_tokens", rf"SELECT doc_id, len(list_filter(regexp_extract_all({_JOINED}, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')))::BIGINT AS n_tokens FROM documents")
 def unicode_tokens(spark, d):
     return bm25.tokens(docs(spark, d), tokenize.build("unicode")).select("doc_id", F.size("terms").cast("long").alias("n_tokens"))
 
@@ -167,7 +171,34 @@ def vector_norms(spark, d):
     return dense.add(v, 64, "vec_id").select(F.col("id").alias("vec_id"), F.round("norm", 6).alias("norm"))
 
 
-@query("hashing_embed_topk")
+def _embed_sql(name: str, source: str, dim: int) -> str:
+    """``name``(kind, id, pos, v): the vectors of ``source`` (kind, id, text), without zeros."""
+    byte = "(instr('0123456789ABCDEF', x[2*i+1]) - 1) * 16 + instr('0123456789ABCDEF', x[2*i+2]) - 1"
+    grams = " ".join(f"UNION ALL SELECT term, substr('<' || term || '>', i, {n}) FROM {name}_w, (SELECT unnest(range(1, 200)) AS i) WHERE i <= length(term) + {3 - n}" for n in (3, 4, 5))
+    return f"""{name}_t AS MATERIALIZED (SELECT kind, id, term, count(*) AS times FROM (SELECT kind, id, unnest({_terms("text")}) AS term FROM {source}) GROUP BY ALL),
+{name}_w AS MATERIALIZED (SELECT DISTINCT term FROM {name}_t),
+{name}_g AS MATERIALIZED (SELECT term, term AS part FROM {name}_w {grams}),
+{name}_h AS MATERIALIZED (SELECT part, list_reduce(list_concat([14695981039346656037::UBIGINT], list_transform(range(0, length(x) // 2), lambda i: ({byte})::UBIGINT)),
+  lambda h, b: ((xor(h, b)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) AS h FROM (SELECT DISTINCT part, hex(encode(part)) AS x FROM {name}_g)),
+{name}_f AS MATERIALIZED (SELECT term, (h % {dim})::INT AS pos, sum(CASE WHEN h >= 9223372036854775808 THEN -1 ELSE 1 END) AS w FROM {name}_g JOIN {name}_h USING (part) GROUP BY ALL),
+{name}_r AS MATERIALIZED (SELECT kind, id, pos, sum(times * w)::DOUBLE AS w FROM {name}_t JOIN {name}_f USING (term) GROUP BY ALL),
+{name}_n AS (SELECT kind, id, sqrt(sum(w * w)) AS n FROM {name}_r GROUP BY ALL),
+{name}_u AS (SELECT kind, id, pos, (w / n)::FLOAT::DOUBLE AS v FROM {name}_r JOIN {name}_n USING (kind, id) WHERE n > 0),
+{name}_m AS (SELECT kind, id, sqrt(sum(v * v)) AS m FROM {name}_u GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT kind, id, pos, v / m AS v FROM {name}_u JOIN {name}_m USING (kind, id))"""
+
+
+def _near_sql(name: str, emb: str, source: str, top: int, ids: str = "VARCHAR") -> str:
+    """``name``(qid, rank, doc_id, score): the ``top`` documents of each query by cosine."""
+    return f"""{name}_s AS (SELECT q.id AS qid, d.id AS doc_id, sum(q.v * d.v) AS s FROM {emb} q JOIN {emb} d USING (pos) WHERE q.kind = 'q' AND d.kind = 'd' GROUP BY ALL),
+{name}_a AS (SELECT q.id::{ids} AS qid, d.id::{ids} AS doc_id, round(coalesce(s, 0), 6) AS score FROM {source} q JOIN {source} d ON q.kind = 'q' AND d.kind = 'd' LEFT JOIN {name}_s x ON x.qid = q.id AND x.doc_id = d.id),
+{name} AS MATERIALIZED (SELECT qid, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM {name}_a) WHERE rank <= {top})"""
+
+
+_TEXTS = "src AS MATERIALIZED (SELECT 'd' AS kind, doc_id::VARCHAR AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'q', item_id::VARCHAR, text FROM benchmark)"
+
+
+@query("hashing_embed_topk", f"WITH {_TEXTS}, {_embed_sql('e', 'src', 256)}, {_near_sql('r', 'e', 'src', 10, 'BIGINT')} SELECT * FROM r")
 def hashing_embed_topk(spark, d):
     own = ("hashing", {"dim": 256})
     return dense.search(embed.embed(docs(spark, d), *own), embed.embed(items(spark, d), *own), 10, "cosine", "doc_id")
@@ -183,8 +214,7 @@ f AS (SELECT qid, doc_id, round(sum(1.0 / (60.0 + rank)), 9) AS score FROM (SELE
 SELECT qid, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""",
 )
 def rrf_fuse(spark, d):
-    t, q = docs(spark, d), items(spark, d)
-    return fuse.rrf([bm25.search(t, q, 50), bm25.search(t, q, 50, {"k1": 0.9, "b": 0.4})], 60.0, 10)
+    return fuse.rrf(bm25.search_configs(docs(spark, d), items(spark, d), 50, [None, OTHER]), 60.0, 10)
 
 
 def _short(spark, d, k=10):
@@ -247,9 +277,12 @@ def _task(spark, d) -> Task:
     return from_tables(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-def _runs(spark, d, config=None):
-    t = _task(spark, d)
-    return t, metrics.ranked_lists(bm25.search(docs(spark, d), items(spark, d), 10, config).withColumn("qid", F.col("qid").cast("string")))
+OTHER = {"k1": 0.9, "b": 0.4}
+
+
+def _runs(spark, d, *configs):
+    runs = bm25.search_configs(docs(spark, d), items(spark, d), 10, list(configs) or [None])
+    return _task(spark, d), *[metrics.ranked_lists(r.withColumn("qid", F.col("qid").cast("string"))) for r in runs]
 
 
 _GOLD = """gold AS (SELECT item_id AS qid, doc_id, count(*) OVER (PARTITION BY item_id) AS ng FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
@@ -347,8 +380,7 @@ SELECT metric, count(*) AS n, round(avg(pq.value), 6) AS mean_a, round(avg(pq_b.
 FROM pq JOIN pq_b USING (qid, metric) GROUP BY metric""",
 )
 def compare_runs(spark, d):
-    t, a = _runs(spark, d)
-    _, b = _runs(spark, d, {"k1": 0.9, "b": 0.4})
+    t, a, b = _runs(spark, d, None, OTHER)
     x = metrics.differences(metrics.per_query(a, t.qrels()), metrics.per_query(b, t.qrels()))
     return x.select("metric", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean_a", "mean_b", "diff")])
 
@@ -361,15 +393,13 @@ SELECT count(*) AS n, count(*) FILTER (xs = ys) AS identical, count(*) FILTER (x
   round(avg(len(list_intersect(xs, ys)) * 1.0 / greatest(len(xs), len(ys), 1)), 6) AS overlap FROM x JOIN y USING (qid)""",
 )
 def run_agreement(spark, d):
-    _, a = _runs(spark, d)
-    _, b = _runs(spark, d, {"k1": 0.9, "b": 0.4})
+    _, a, b = _runs(spark, d, None, OTHER)
     return metrics.agreement(a, b).withColumn("overlap", F.round("overlap", 6))
 
 
 @query("randomization_p_value")
 def randomization_p_value(spark, d):
-    t, a = _runs(spark, d)
-    _, b = _runs(spark, d, {"k1": 0.9, "b": 0.4})
+    t, a, b = _runs(spark, d, None, OTHER)
     per = [metrics.per_query(x, t.qrels()).where("metric = 'ndcg@10'").select("qid", "value") for x in (a, b)]
     return metrics.randomization_test_distributed(*per)
 
@@ -469,18 +499,81 @@ def registered(spark, d):
 # --- whole systems
 
 
-def _system(name: str, make: Callable[[], systems.System]) -> None:
-    @query(f"system_{name}")
+def _system(name: str, make: Callable[[], systems.System], sql: str) -> None:
+    @query(f"system_{name}", sql)
     def own(spark, d, make=make):
         t = _task(spark, d)
-        return make().answer(t, t.queries.select("qid", "text"))
+        return make().answer(t, t.queries.select("qid", "text")).withColumn("confidence", F.round("confidence", 6))
+
 
+def _records_sql(hits: str) -> str:
+    return f"""SELECT item_id::VARCHAR AS qid, coalesce(list(doc_id ORDER BY rank) FILTER (doc_id IS NOT NULL), []) AS ranked,
+  round(max(score) FILTER (rank = 1), 6) AS confidence, false AS abstained, NULL::VARCHAR AS verdict FROM benchmark LEFT JOIN {hits} ON qid = item_id::VARCHAR GROUP BY item_id"""
 
-_system("naive", systems.naive)
-_system("hybrid_rrf", systems.hybrid_rrf)
-_system("bm25", systems.bm25_system)
-_system("hashing", systems.hashed)
-_system("reranked", systems.reranked)
-_system("query_rewrite_rm3", systems.query_rewrite)
-_system("query_rewrite_identity", lambda: systems.query_rewrite(name="identity"))
-_system("sure", systems.sure)
+
+def _dense_sql(dim: int, *tops: tuple[str, int]) -> str:
+    return f"WITH {_TEXTS}, {_embed_sql('e', 'src', dim)}, " + ", ".join(_near_sql(n, "e", "src", k) for n, k in tops)
+
+
+def _as_text(sql: str) -> str:
+    """The same with ids as the tasks have them."""
+    return sql.replace("FROM documents", "FROM (SELECT doc_id::VARCHAR AS doc_id, text FROM documents)").replace("item_id AS qid", "item_id::VARCHAR AS qid")
+
+
+def _rerank_sql(name: str, short: str) -> str:
+    """``name``(qid, doc_id, first_rank, score): BM25 of the documents in ``short`` among themselves."""
+    return f"""{name}_q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id::VARCHAR AS qid, unnest({_terms("text")}) AS term FROM benchmark) GROUP BY ALL),
+{name}_c AS (SELECT qid, s.rank AS first_rank, doc_id, toks.terms FROM {short} s JOIN toks USING (doc_id)),
+{name}_n AS (SELECT qid, count(*) AS n, greatest(sum(len(terms)) * 1.0 / count(*), 1.0) AS avg FROM {name}_c GROUP BY qid),
+{name}_t AS (SELECT qid, doc_id, term, count(*) AS tf FROM (SELECT qid, doc_id, unnest(terms) AS term FROM {name}_c) GROUP BY ALL),
+{name}_d AS (SELECT qid, term, count(*) AS df FROM {name}_t GROUP BY ALL),
+{name}_x AS (SELECT qid, doc_id, sum(qtf * ln((n + 1) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(terms) / avg))) AS s
+  FROM {name}_t JOIN {name}_d USING (qid, term) JOIN {name}_q USING (qid, term) JOIN {name}_n USING (qid) JOIN {name}_c USING (qid, doc_id) GROUP BY qid, doc_id),
+{name} AS (SELECT qid, doc_id, first_rank, round(coalesce(s, 0), 6) AS score FROM {name}_c LEFT JOIN {name}_x USING (qid, doc_id))"""
+
+
+_TOKS = _as_text(_index_sql()).split(",\nocc")[0]
+_NAIVE_SQL = f"{_dense_sql(512, ('r', 10))} {_records_sql('r')}"
+
+_system("naive", systems.naive, _NAIVE_SQL)
+_system(
+    "hybrid_rrf",
+    systems.hybrid_rrf,
+    f"""{_dense_sql(512, ("v", 50))}, {_as_text(_index_sql())}, {_as_text(_search_sql("l", 50))},
+f AS (SELECT qid, doc_id, round(sum(1.0 / (60.0 + rank)), 9) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM v) GROUP BY qid, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10) {_records_sql("r")}""",
+)
+_system("bm25", systems.bm25_system, f"WITH {_as_text(_index_sql())}, {_as_text(_search_sql('r', 10))} {_records_sql('r')}")
+_system("hashing", systems.hashed, f"{_dense_sql(256, ('r', 10))} {_records_sql('r')}")
+_system(
+    "reranked",
+    systems.reranked,
+    f"""{_dense_sql(512, ("v", 10))}, {_TOKS}, {_rerank_sql("x", "v")},
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first_rank) AS rank FROM x) {_records_sql("r")}""",
+)
+_system(
+    "query_rewrite_rm3",
+    systems.query_rewrite,
+    f"""{_dense_sql(512, ("v", 3))}, {_TOKS},
+o AS (SELECT qid, rank, term FROM (SELECT qid, rank, unnest(terms) AS term FROM v JOIN toks USING (doc_id)) WHERE length(term) >= 4),
+own AS (SELECT DISTINCT item_id::VARCHAR AS qid, unnest({_terms("text")}) AS term FROM benchmark),
+s AS (SELECT qid, term, count(*) + 2 * count(DISTINCT rank) AS score FROM o ANTI JOIN own USING (qid, term) GROUP BY qid, term),
+m AS (SELECT qid, string_agg(term, ' ' ORDER BY i) AS more FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, term) AS i FROM s) WHERE i <= 10 GROUP BY qid),
+src2 AS MATERIALIZED (SELECT kind, id, text FROM src WHERE kind = 'd' UNION ALL SELECT 'q', id, text || coalesce(' ' || more, '') FROM src LEFT JOIN m ON qid = id WHERE kind = 'q'),
+{_embed_sql("e2", "src2", 512)}, {_near_sql("r", "e2", "src2", 10)} {_records_sql("r")}""",
+)
+_system("query_rewrite_identity", lambda: systems.query_rewrite(name="identity"), _NAIVE_SQL)
+_system(
+    "sure",
+    systems.sure,
+    f"""{_dense_sql(512, ("v", 10))}, {_TOKS}, ev AS (SELECT * FROM v WHERE rank <= 5), {_rerank_sql("x", "ev")},
+p AS (SELECT v.qid, v.doc_id, row_number() OVER (PARTITION BY v.qid ORDER BY x.score IS NULL, x.score DESC, v.rank) AS rank FROM v LEFT JOIN x ON v.qid = x.qid AND v.doc_id = x.doc_id),
+q AS (SELECT item_id::VARCHAR AS qid, list_distinct(list_filter({_terms("text")}, lambda x: length(x) >= 3)) AS asked FROM benchmark),
+e0 AS (SELECT qid, count(*) AS w FROM ev GROUP BY qid),
+h AS (SELECT qid, count(DISTINCT term) AS h FROM (SELECT qid, unnest(asked) AS term FROM q) JOIN (SELECT qid, unnest(terms) AS term FROM ev JOIN toks USING (doc_id)) USING (qid, term) GROUP BY qid),
+j AS (SELECT qid, len(asked) AS n, coalesce(w, 0) AS w, coalesce(h, 0) * 1.0 / greatest(len(asked), 1) AS share FROM q LEFT JOIN e0 USING (qid) LEFT JOIN h USING (qid)),
+k AS (SELECT qid, CASE WHEN n > 0 AND w > 0 AND share >= 0.6 THEN 'supports' ELSE 'insufficient' END AS verdict,
+  round(CASE WHEN n = 0 OR w = 0 THEN 1.0 ELSE least(abs(share - 0.6), 1.0) END, 6) AS confidence FROM j),
+l AS (SELECT qid, list(doc_id ORDER BY rank) AS ranked FROM p GROUP BY qid)
+SELECT qid, coalesce(ranked, []) AS ranked, verdict = 'insufficient' OR confidence < 0 AS abstained, confidence, verdict FROM k LEFT JOIN l USING (qid)""",
+)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bm25, dense, embed, fuse, judge, metrics, transform
 from ..registry import REGISTRY
+from ..storage import stored
 from .task import Task
 
 #: Offline stand-in for a learned encoder; any embedder of the registry can take its place.
@@ -74,9 +75,10 @@ def reranked(k: int = 10, depth: int = 10, reranker: str | object | None = "lexi
     def answer(t: Task, q: DataFrame) -> DataFrame:
         if reranker is None:
             return records(dense_hits(t, q, k, encoder), q)
+        # scores count to six digits, as those of a search, so that equal texts keep their order
         s = _shortlist(t, q, depth, encoder)
         scored = judge.rerank_lexical(s) if reranker == "lexical" else judge.rerank_with(s, reranker)
-        return records(judge.reordered(scored, k), q)
+        return records(judge.reordered(scored.withColumn("score", F.round("score", 6)), k), q)
 
     return System("reranked", answer)
 
@@ -94,7 +96,7 @@ def query_rewrite(k: int = 10, name: str = "rm3", config: dict | None = None, tr
         else:
             new = transform.apply(q, tr, feedback)
         # one text for each query: searched to k; several: each to 2 k, then fused
-        new = new.withColumn("part", F.concat_ws("\x1f", "qid", F.col("n").cast("string"))).persist()
+        new = stored(new.withColumn("part", F.concat_ws("\x1f", "qid", F.col("n").cast("string"))), "rewritten")
         counts = new.groupBy("qid").agg(F.count("*").alias("texts"))
         hits = dense_hits(t, new.select(F.col("part").alias("qid"), "text"), 2 * k, encoder).withColumnRenamed("qid", "part")
         hits = hits.join(new.select("part", "qid"), "part").join(counts, "qid")
@@ -108,7 +110,7 @@ def sure(verifier: str | object = "coverage", reranker: str | object | None = "l
     """Dense hits, one verdict over the first ``n_evidence``, those reranked and promoted, or abstention."""
 
     def answer(t: Task, q: DataFrame) -> DataFrame:
-        s = _shortlist(t, q, k, encoder).persist()
+        s = stored(_shortlist(t, q, k, encoder), "shortlist")
         evidence = s.where(F.col("rank") <= n_evidence)
         if verifier == "coverage":
             v = judge.verify_coverage(evidence.select("qid", "text"), q)
@@ -117,7 +119,7 @@ def sure(verifier: str | object = "coverage", reranker: str | object | None = "l
         ranked = s.select("qid", "doc_id", "rank")
         if reranker is not None:
             scored = judge.rerank_lexical(evidence) if reranker == "lexical" else judge.rerank_with(evidence, reranker)
-            ranked = judge.promote(ranked, scored.select("qid", "doc_id", "score"))
+            ranked = judge.promote(ranked, scored.select("qid", "doc_id", F.round("score", 6).alias("score")))
         extra = v.select("qid", judge.abstains(min_confidence).alias("abstained"), "confidence", F.col("support").alias("verdict"))
         return records(ranked, q, extra)
 

@@ -164,6 +164,23 @@ def transport(cache_dir: str | None = None, rpm: float = 0.0, http: HttpPost | N
     return CachedHttp(http, cache_dir) if cache_dir else http
 
 
+_TRANSPORTS: dict[tuple, tuple[HttpPost | None, HttpPost]] = {}
+_TRANSPORTS_LOCK = threading.Lock()
+
+
+def shared_transport(cache_dir: str | None, rpm: float, timeout_secs: float, http: HttpPost | None = None) -> HttpPost:
+    """The ``transport`` of these settings, built once in each worker, so that its limiter and counters last.
+
+    A given ``http`` stands for the network; what it answers is not cached.
+    """
+    key = (cache_dir or None, rpm, timeout_secs, id(http) if http is not None else None)
+    with _TRANSPORTS_LOCK:
+        if key not in _TRANSPORTS:
+            # the given http is kept with its transport, so that its id stays its own
+            _TRANSPORTS[key] = http, transport(None if http is not None else cache_dir or None, rpm, http or HttpClient(timeout_secs))
+        return _TRANSPORTS[key][1]
+
+
 def api_key(variable: str) -> str:
     if not (key := os.environ.get(variable)):
         raise ConfigError(f"the environment variable {variable} is not set")
@@ -221,7 +238,7 @@ class Chat:
     def complete(self, system: str, user: str) -> str:
         c = self.config
         key = self.key or api_key(c.api_key_env)
-        http = self.http or transport(c.cache or None, c.requests_per_minute, HttpClient(c.timeout_secs))
+        http = shared_transport(c.cache, c.requests_per_minute, c.timeout_secs, self.http)
         last: ProviderError = ProviderError("invalid", "no models")
         for model in c.models:
             turns = [dict(zip(("role", "content"), t, strict=True)) for t in (("system", system), ("user", user))]

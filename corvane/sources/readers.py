@@ -268,9 +268,30 @@ def json_pointer(v: Any, pointer: str) -> Any:
 
 
 def pointer_column(json_text: Column, pointer: str) -> Column:
-    """The same by built-ins, for a pointer known in advance."""
+    """The same for a pointer known in advance: a string as it is, any other value as JSON.
+
+    Built-in, but for keys with a quote or bracket, which paths cannot name. A step of digits is a
+    place in an array or a key of an object.
+    """
     parts = [p.replace("~1", "/").replace("~0", "~") for p in pointer.split("/")[1:]]
-    return F.get_json_object(json_text, "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in parts))
+    if any(c in p for p in parts for c in "'[]*?") or "" in parts or sum(p.isdigit() for p in parts) > 4:
+
+        @F.pandas_udf("string")
+        def found(s: pd.Series) -> pd.Series:
+            def one(t: str | None) -> str | None:
+                try:
+                    v = json_pointer(json.loads(t), pointer)
+                except (TypeError, ValueError):
+                    return None
+                return v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"), ensure_ascii=False)
+
+            return s.map(one)
+
+        return found(json_text)
+    paths = ["$"]
+    for p in parts:
+        paths = [x + y for x in paths for y in ([f"[{p}]", f"['{p}']"] if p.isdigit() else [f"['{p}']"])]
+    return F.coalesce(*[F.get_json_object(json_text, x) for x in paths])
 
 
 @REGISTRY.register("reader", "json", "string leaves of JSON or JSON-lines records", JsonConfig)

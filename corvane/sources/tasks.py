@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.task import DOCS, QUERIES, Task
+from ..storage import stored
 
 HOTPOT = (
     "id string, question string, answer string, type string, level string, "
@@ -16,8 +17,14 @@ HOTPOT = (
 )
 
 
-def hotpot(raw: DataFrame, name: str = "multi-hop", order: str = "id", seed: int = 42, per_question_scope: bool = False, unanswerable_frac: float = 0.0) -> Task:
-    """A task from rows of HOTPOT. Paragraphs of one title are one document, the first one in ``order`` wins."""
+def hotpot(raw: DataFrame, name: str = "multi-hop", order: str | None = None, seed: int = 42, per_question_scope: bool = False, unanswerable_frac: float = 0.0) -> Task:
+    """A task from rows of HOTPOT. Paragraphs of one title are one document, the first one in ``order`` wins.
+
+    Without an ``order`` column rows count in the order of the files they are read from.
+    """
+    if order is None:
+        order = "__at"
+        raw = stored(raw.withColumn(order, F.monotonically_increasing_id()), "questions")
     did = F.concat(F.lit("wiki::"), F.replace("title", F.lit(" "), F.lit("_")))
     p = raw.select(F.col(order).alias("o"), "id", F.posexplode(F.arrays_zip("context.title", "context.sentences")).alias("at", "p"))
     p = p.select("o", "id", "at", F.col("p.title").alias("title"), F.trim(F.array_join("p.sentences", " ")).alias("text"))
