@@ -14,6 +14,7 @@ from ..registry import catalogue
 from ..sources import readers
 from ..streaming import resume
 from . import runner, systems
+from .hints import spread
 from .task import Task, from_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +37,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -274,7 +275,7 @@ def rm3_expand(spark, d):
 
 
 def _task(spark, d) -> Task:
-    return from_tables(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return from_tables(docs(spark, d), table(spark, d, "benchmark"))
 
 
 OTHER = {"k1": 0.9, "b": 0.4}
@@ -462,7 +463,7 @@ def html_text(spark, d):
     def plain(s):
         return s.map(lambda t: readers.html_text(t or ""))
 
-    return table(spark, d, "pages").select("page_id", plain("html").alias("text"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", plain("html").alias("text"))
 
 
 @query("json_pointer", "SELECT event_id, json_extract_string(props, '/k') AS k FROM events")

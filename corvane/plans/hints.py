@@ -11,3 +11,16 @@ MAX_ROWS = 200_000
 def small(df: DataFrame, limit: int = MAX_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows; else Spark chooses (and may shuffle)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, for costly work on its rows.
+
+    A file with one row group is read by one task. Only tables estimated at SPREAD_BYTES at most are
+    shuffled for that; larger ones have tasks enough as they are read.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
