@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that setting is absent (local tests) a temporary folder is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+from ..plans.hints import spread
+from ..storage import release, shared_root, stored
 
+__all__ = ["release", "shared_root", "stored"]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts lineage.
-
-    The table survives lost executors; nothing is kept on a machine's own disk.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = UPPER.lower()
 
 
 BATCH_ROWS = 1000
@@ -55,14 +34,9 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
-def release(spark: SparkSession) -> bool:
-    """Delete all tables that ``stored`` wrote below the session's shared folder, once results are read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/corvane")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; a small one is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def doc_bucket(col: str, mod: int) -> Column:

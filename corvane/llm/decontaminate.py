@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, where_fenced
+from .common import ascii_lower, stored, table, where_fenced
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -222,7 +222,7 @@ def _act(docs: DataFrame, benchmark: DataFrame, size: int, max_set: int, spans:
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
-    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, bench = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return find_contamination(docs, bench).drop("hits", "items")
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bucket, map_texts
+from .common import doc_bucket, map_texts, table
 
 FOLDS, HELD_OUT = 3, 1
 MAX_DOCS, TRAIN_LEN, ROUNDS = 800, 24, 3
@@ -370,5 +370,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import map_texts, stored, table
 
 SIZE = 2048
 END_ID = 0
@@ -184,4 +184,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import where_fenced
+from .common import table, where_fenced
 
 WS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -123,7 +123,7 @@ BASE_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(*BASE_COLUMNS, "n_lines", "n_stop_words", "n_capitals")
+    return apply_rules(table(spark, sf_dir, "documents")).select(*BASE_COLUMNS, "n_lines", "n_stop_words", "n_capitals")
 
 
 ORACLE = f"""

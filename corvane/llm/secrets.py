@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, small_batches
+from .common import map_texts, small_batches, table
 
 MAX_FINDINGS = 50_000
 THRESHOLD = 0.5
@@ -332,4 +332,4 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(table(spark, sf_dir, "documents"))

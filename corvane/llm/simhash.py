@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import map_texts, stored, table
 
 WORDS, SIMILARITY = 5, 0.8
 BITS, TABLES, NEAR = 256, 32, 160
@@ -422,5 +422,5 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, exact: bool = False)
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:
-    c = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    c = classes(table(spark, sf_dir, "documents"))
     return c.select("doc_id", "class_id", "class_docs", (F.col("doc_id") == F.col("class_id")).alias("is_representative"))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bucket, map_texts, small_batches, stored
+from .common import doc_bucket, map_texts, small_batches, stored, table
 
 FOLDS, HELD_OUT = 5, 0
 MAX_LABELLED = 20_000
@@ -335,6 +335,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     d = docs.select("doc_id", (doc_bucket("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
     return score(d, train(docs, labels), ("doc_id", "held_out"))

@@ -350,7 +350,9 @@ def test_lm_rows_sum_to_one():
     rng = np.random.default_rng(4)
     true = rng.dirichlet(np.full(40, 0.3), 40)
     pairs = np.stack([rng.multinomial(5000, p) for p in true])
-    logp = lm.train(pairs, dim=16, steps=400)
+    logp = lm.train(*np.nonzero(pairs), pairs[pairs > 0], 40, dim=16, steps=1500)
+    none = np.zeros(0, "int64")
+    assert np.exp(lm.train(none, none, none, 5).astype(float)).sum(1) == pytest.approx(np.ones(5), abs=1e-4)
     assert np.exp(logp.astype(float)).sum(1) == pytest.approx(np.ones(40), abs=1e-4)
     uni = pairs.sum(0) / pairs.sum()
     fit, base = (pairs * logp).sum() / pairs.sum(), (pairs * np.log(uni)).sum() / pairs.sum()
@@ -360,3 +362,31 @@ def test_lm_rows_sum_to_one():
 def test_lm_beats_unigrams_on_held_out(spark):
     rows = [r for r in lm.op10_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_lm_scores_equal_brute_force(spark, monkeypatch, documents):
+    """Scores of texts, sign by sign from the matrix of the trained model and the classes' shares."""
+    d = documents.select("doc_id", "text").limit(60).unionByName(spark.createDataFrame([(90_001, None), (90_002, "neverseen the"), (90_002, "neverseen the"), (None, "")], "doc_id long, text string"))
+    d = d.withColumn("source", F.lit("x")).withColumn("word", F.lit("y")).withColumn("n", F.lit(1))
+    kept, fit = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: kept.append(fit(*a, steps=30)) or kept[-1])
+    monkeypatch.setattr(lm, "LEAST", 50)
+    monkeypatch.setattr(lm, "MOST", 50)
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score(d, 120).collect()}
+    every = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
+    c = Counter(w for i, t in every if i is None or zlib.crc32(str(i).encode()) % 5 != 1 for w in lm.tokens(t))
+    symbols = sorted(c, key=lambda w: (-c[w], w))[:50]
+    n, v = Counter(), Counter()
+    for w, k in c.items():
+        if w not in symbols:
+            n[lm.word_class(w)] += k
+            v[lm.word_class(w)] += 1
+    sym = lambda w: symbols.index(w) if w in symbols else 50 + lm.word_class(w)
+    for i, t in every:
+        total, before = 0.0, sym(lm.END)
+        for w in lm.tokens(t):
+            total += float(kept[0][before, sym(w)]) / math.log(10)
+            if w not in symbols:
+                total += math.log10((c[w] + 0.5) / (n[lm.word_class(w)] + 0.5 * (v[lm.word_class(w)] + 1)))
+            before = sym(w)
+        assert got[i, len(lm.tokens(t))] == pytest.approx(total, rel=1e-5)
