@@ -30,3 +30,22 @@ def test_stages(spark, sf):
     for _, f in P.STAGES:
         empty_out = f(spark, empty, sf)
         assert empty_out.count() == 0
+
+
+def test_stages_on_hard_rows(spark, sf):
+    """Nulls in every column, repeated rows, a very long text and columns with the operators' own names."""
+    types = "doc_id long, text string, lang string, source string, n_chars long, __row string, __key string, score double, key string, `a.b` string"
+    more = (None, "k", 0.5, "x", "y")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("text is not null").first().text
+    long = " ".join(f"w{i}" for i in range(60_000))
+    secret = 'set token = "3f9a1c77be024d5e86a1f0c2d4b59e7788aa01cd" here and the rest of this text'
+    rows = [(None, None, None, None, None, *more), (None, None, None, None, None, *more), (1, "", "en", "s", 0, *more), (2, long, None, "s", 1, *more), (3, long, "en", None, 1, *more)]
+    rows += [(4, f"before {item} after", "en", "s", 1, *more), (5, secret, "en", "s", 1, *more), (5, secret, "en", "s", 1, *more), (None, "a text whose id is null", "en", "s", 1, *more), (None, "a text whose id is null", "en", "s", 1, *more)]
+    docs = spark.createDataFrame(rows, types)
+    for _, stage in P.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf), "t")
+        assert docs.columns == [f.split(" ")[0].strip("`") for f in types.split(", ")]
+    left = sorted((r.doc_id if r.doc_id is not None else -1, (r.text or "")[:30]) for r in docs.collect())
+    assert left == [(-1, ""), (-1, ""), (-1, "a text whose id is null"), (1, ""), (2, long[:30]), (5, 'set token = "[SECRET]" here and'[:30])]
+    packed = P.STAGES[-1][1](spark, docs, sf).collect()
+    assert sum(r.piece == 0 for r in packed) == len(left) and max(r.piece for r in packed if r.doc_id == 2) > 20
