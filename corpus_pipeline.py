@@ -1,4 +1,10 @@
-"""A training-data pipeline: each stage reads what the one before it wrote."""
+"""A training-data pipeline: each stage reads what the one before it wrote.
+
+Defined cases, in all stages: texts that are null, empty or very long are taken whole, and those
+without words are no copies of each other; rows with a null doc_id stay, and of copies with null
+ids one does; of repeated rows near-dedup keeps one; an empty table gives an empty result;
+further columns, whatever their names, go through all stages but the last.
+"""
 
 from __future__ import annotations
 
