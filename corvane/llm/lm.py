@@ -5,16 +5,19 @@ training texts and the whole table, all of them streaming:
 
 1. token counts of all training texts (summed per task, then by word in the JVM);
 2. counts of (previous, next) symbol pairs of all training texts. A symbol is one of the most
-   common tokens, more of them in a larger corpus (``frequent``), or one of ``CLASSES`` classes
-   of rarer words by their letters, so the pair counts are a matrix of bounded size;
+   common tokens, as many as the square root of the corpus' tokens (``frequent``), or one of
+   ``CLASSES`` classes of rarer words by their letters, so a matrix of all pairs has about as
+   many cells as the corpus has tokens;
 3. scores of all texts.
 
 The pair counts are a sufficient statistic of the contrastive objective with a context of one
-token. Training in numpy on the driver draws pairs in proportion to their counts in all of the
-corpus and, for each batch of them, noise tokens from the smoothed unigram distribution.
-Batched matrix products then give the normalised log-probability of every symbol after every
-symbol. A rare word's probability is that of its class times its smoothed share of the class,
-so the probabilities of all known words and one unseen word for each class sum to 1.
+token. Nothing is drawn: training takes the counts of all pairs and the expectation over all noise
+tokens, of the smoothed unigram distribution. With one side's vectors fixed, each vector of the
+other side is a logistic regression of its own, so the executors fit the vectors of previous and
+of next symbols by turns, each from one row of counts, and send back only the vectors. The
+log-probability of a symbol after a symbol is normalised over all symbols. A rare word's
+probability is that of its class times its smoothed share of the class, so the probabilities of
+all known words and one unseen word for each class sum to 1.
 
 Counts of the ``HEAD`` most common tokens travel as a table of bounded size; rarer words are
 joined by word, counted once for each document first.
@@ -40,12 +43,14 @@ from pyspark.sql import functions as F
 from .common import doc_bucket, map_texts, stored, table
 
 FOLDS, HELD_OUT = 5, 1
-LEAST, MOST = 1000, 2000  # common tokens with a vector of their own
+LEAST, MOST = 1000, math.inf  # common tokens with a vector of their own; no limit above
 CLASSES = 25
 HEAD = 150_000
 END = b""  # no word is empty
-DIM, NOISE, STEPS = 24, 10, 1200
-BATCH, DRAWN = 4096, 256  # pairs of a step, and noise tokens drawn for them
+DIM, NOISE, STEPS = 24, 10, 10  # places of a vector, noise tokens for a pair, turns of both sides
+CELLS = 1_000_000  # of a block of the matrix of pairs
+TOKENS = 3_000_000  # whose pairs a task counts at a time
+SYMBOL = 0xFFFFFFFF  # the low bits of a code
 LN10 = math.log(10)
 
 
@@ -91,7 +96,7 @@ def token_counts(docs: DataFrame, limit: int = 300_000) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The common tokens' counts and the classes' totals; of bounded size."""
+    """The common tokens' counts and the classes' totals; of bounded size, or the square root of the tokens."""
 
     n: int  # training tokens
     v: int  # distinct training tokens
@@ -101,14 +106,20 @@ class Vocabulary:
     class_v: np.ndarray
     symbols: int  # common tokens with a vector of their own, and classes
 
+    def totals(self) -> np.ndarray:
+        """Training tokens of each symbol."""
+        return np.concatenate([self.counts[: self.symbols - CLASSES], self.class_n])
+
 
 def frequent(n: int) -> int:
     """The number of common tokens with a vector of their own, for ``n`` training tokens."""
-    return min(MOST, max(LEAST, math.isqrt(n)))
+    return min(max(LEAST, math.isqrt(n)), MOST)
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     total = counts.agg(F.sum("n"), F.count("*")).first()
+    common = frequent(int(total[0] or 0))
+    head = max(head, 2 * common)  # a step of the histogram may hold many words
     # the least count of the head comes from a histogram on a log scale, so that no task sends its own top
     steps = counts.groupBy(F.floor(F.log("n") * 32).alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
     least, held = 1 << 62, 0
@@ -119,7 +130,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     top = counts.where(F.floor(F.log("n") * 32) >= least).collect()  # at most ``head`` rows
     top.sort(key=lambda r: (-r["n"], bytes(r["word"])))
     words = [bytes(r["word"]) for r in top]
-    freq = set(words[: frequent(int(total[0] or 0))])
+    freq = set(words[:common])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, v = np.zeros(CLASSES, "int64"), np.zeros(CLASSES, "int64")
@@ -143,12 +154,12 @@ class _Lookup:
 
     def __init__(self, vocab: Vocabulary):
         self.frequent = vocab.symbols - CLASSES
-        self.codes = {w: (i << 16) | (i if i < self.frequent else self.frequent + word_class(w)) for w, i in vocab.head.items()}
+        self.codes = {w: (i << 32) | (i if i < self.frequent else self.frequent + word_class(w)) for w, i in vocab.head.items()}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        """place << 16 | symbol; a word out of the head has place -1."""
+        """place << 32 | symbol; a word out of the head has place -1."""
         get, f = self.codes.get, self.frequent
-        return np.array([c if (c := get(w)) is not None else (-1 << 16) | (f + word_class(w)) for w in words], "int64")
+        return np.array([c if (c := get(w)) is not None else (-1 << 32) | (f + word_class(w)) for w in words], "int64")
 
 
 _LOOKUPS: dict[str, _Lookup] = {}
@@ -161,93 +172,154 @@ def _lookup(key: str, shared) -> _Lookup:
     return _LOOKUPS[key]
 
 
-def pair_counts(docs: DataFrame, shared, key: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Previous symbols, symbols and their counts over all texts; a text begins after an end."""
+def pair_counts(docs: DataFrame, shared, key: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """The counts of all pairs over all texts, a row for each previous and for each next symbol.
+
+    A row holds count * size + other symbol for all others. A text begins after an end.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         look = _lookup(key, shared)
-        m = np.zeros(size * size, "int32")
-        end = look([END])[0] & 0xFFFF
+        end = look([END])[0] & SYMBOL
         held: list[np.ndarray] = []
         size_held = 0
 
-        def flush() -> None:
-            nonlocal m, size_held
-            if held:
-                pair, n = np.unique(np.concatenate(held), return_counts=True)
-                m[pair] += n.astype("int32")  # a task has fewer than 2^31 tokens
-            held.clear()
-            size_held = 0
+        def flush() -> Iterator[pd.DataFrame]:
+            pair, n = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(pair), 200_000):
+                at = pair[i : i + 200_000]
+                yield pd.DataFrame({"prev": at // size, "next": at % size, "n": n[i : i + 200_000]})
 
         for b in batches:
             for t in b["text"]:
-                s = look(tokens(t)) & 0xFFFF
+                s = look(tokens(t)) & SYMBOL
                 held.append(np.concatenate(([end], s[:-1])) * size + s)
                 size_held += len(s)
-                if size_held > 2_000_000:
-                    flush()
-        flush()
-        used = np.flatnonzero(m)
-        yield pd.DataFrame({"pair": used, "n": m[used]})
-
-    rows = map_texts(docs.select("text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    table = rows.select(F.col("pair").cast("int"), "n").toArrow()  # at most size * size pairs
-    pair, n = table["pair"].to_numpy(), table["n"].to_numpy()
-    del table
-    order = np.argsort(pair)
-    pair, n = pair[order], n[order]
-    return pair // size, pair % size, n
-
-
-def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The sums of ``rows`` by their places ``at``."""
-    order = np.argsort(at, kind="stable")
-    places, first = np.unique(at[order], return_index=True)
-    out = np.zeros((n, rows.shape[1]))
-    out[places] = np.add.reduceat(rows[order], first)
+                if size_held > TOKENS:
+                    yield from flush()
+                    held, size_held = [], 0
+        if held:
+            yield from flush()
+
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, size // 250)
+    rows = map_texts(docs.select("text"), run, "prev int, next int, n long")
+    rows = rows.groupBy("prev", "next").agg(F.sum("n").alias("n")).repartition(parts, "prev")  # summed first: at most ``size`` rows a symbol
+    packed = lambda other: F.collect_list(F.col("n") * size + F.col(other)).alias("packed")
+    by_prev = stored(rows.groupBy(F.col("prev").alias("symbol")).agg(packed("next")), "lm-prev")
+    rows = by_prev.select(F.col("symbol").alias("prev"), F.explode("packed").alias("p"))
+    rows = rows.select("prev", (F.col("p") % size).cast("int").alias("next"), F.expr(f"p div {size}").alias("n")).repartition(parts, "next")
+    return by_prev, stored(rows.groupBy(F.col("next").alias("symbol")).agg(packed("prev")), "lm-next")
+
+
+@dataclass
+class Model:
+    """ln P(next | previous) as a product of two matrices, ``left`` of previous and ``right`` of next symbols."""
+
+    left: np.ndarray
+    right: np.ndarray
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        prev, nxt = at
+        return (self.left[prev] * self.right[nxt]).sum(-1)
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return np.asarray(self.left @ self.right.T, dtype)
+
+    def astype(self, dtype) -> np.ndarray:
+        return np.asarray(self, dtype)
+
+    def total(self, prev: np.ndarray, nxt: np.ndarray) -> float:
+        """The sum over pairs, 50,000 at a time."""
+        return sum(float(self[prev[i : i + 50_000], nxt[i : i + 50_000]].sum(dtype=float)) for i in range(0, len(prev), 50_000))
+
+
+@dataclass
+class _Side:
+    """What a fit of one side's vectors needs, apart from the counts."""
+
+    vectors: np.ndarray  # of this side
+    prior: np.ndarray
+    fixed: np.ndarray  # of the other side
+    own: np.ndarray  # noise tokens of a pair are own * others
+    others: np.ndarray
+    shift: np.ndarray  # added to the products, by symbol of this side
+    shift_others: np.ndarray
+
+
+def _fit(batches: Iterator[pd.DataFrame], side: _Side) -> Iterator[pd.DataFrame]:
+    """A Newton step of the penalised logistic regression of each symbol of ``batches`` against all others."""
+    size, d = side.fixed.shape
+    up = np.triu_indices(d)
+    outer = side.fixed[:, up[0]] * side.fixed[:, up[1]]
+    rows = max(1, CELLS // size)
+    for b in batches:
+        for k in range(0, len(b), rows):
+            at = b["symbol"].to_numpy()[k : k + rows]
+            n = np.zeros((len(at), size), "float32")
+            for i, p in enumerate(b["packed"].iloc[k : k + rows]):
+                n[i, p % size] = p // size
+            v = side.vectors[at]
+            x = v.astype("float32") @ side.fixed.T + side.shift[at, None] + side.shift_others
+            p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            w = (n + side.own[at, None] * side.others) * p
+            slope = ((n - w) @ side.fixed).astype(float) - (v - side.prior[at])
+            h = np.empty((len(at), d, d))
+            h[:, up[0], up[1]] = h[:, up[1], up[0]] = (w * (1 - p)) @ outer
+            h[:, range(d), range(d)] += 1
+            step = np.linalg.solve(h, slope[:, :, None])[:, :, 0]
+            step *= np.minimum(1, 2 / np.maximum(np.linalg.norm(step, axis=1, keepdims=True), 1e-9))
+            yield pd.DataFrame({"symbol": at, "vector": list(v + step)})
+
+
+def _turn(counts: DataFrame | pd.DataFrame, side: _Side) -> np.ndarray:
+    """The side's vectors after a step; symbols without a pair keep theirs."""
+    if isinstance(counts, pd.DataFrame):
+        done = pd.concat(_fit(iter([counts]), side))
+        at, new = done["symbol"].to_numpy(), np.stack(done["vector"])
+    else:
+        shared = counts.sparkSession.sparkContext.broadcast(side)
+        table = counts.mapInPandas(lambda batches: _fit(batches, shared.value), "symbol int, vector array<double>").toArrow()
+        at, new = table["symbol"].to_numpy(), table["vector"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        shared.destroy()
+    out = side.vectors.copy()
+    out[at] = new
     return out
 
 
-def train(prev: np.ndarray, nxt: np.ndarray, n: np.ndarray, size: int, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, seed: int = 5) -> np.ndarray:
-    """ln P(next | previous) of a log-bilinear model q_prev . r_next + b_next, fitted by NCE.
+def _rows(symbol: np.ndarray, other: np.ndarray, n: np.ndarray, size: int) -> pd.DataFrame:
+    order = np.argsort(symbol, kind="stable")
+    places, first = np.unique(symbol[order], return_index=True)
+    return pd.DataFrame({"symbol": places, "packed": np.split((n * size + other)[order], first[1:])[: len(places)]})
+
 
-    Each step draws BATCH pairs by their counts and DRAWN tokens of the noise, the smoothed unigram
-    distribution, which stand for ``noise`` noise tokens of each pair.
+def train(prev, nxt, n: np.ndarray, size: int, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, seed: int = 5) -> Model:
+    """ln P(next | previous) of a log-bilinear model q_prev . r_next + b_next, fitted by NCE on all pairs.
+
+    The pairs and their counts are arrays, or ``prev`` and ``nxt`` are the tables of ``pair_counts``
+    and ``n`` the tokens of each symbol. Each of ``steps`` turns fits all r and b, then all q.
     """
+    before = after = n
+    if isinstance(prev, np.ndarray):
+        before, after = np.bincount(prev, n, size), np.bincount(nxt, n, size)
+        prev, nxt = _rows(prev, nxt, n, size), _rows(nxt, prev, n, size)
     rng = np.random.default_rng(seed)
-    uni = np.bincount(nxt, n, size) + 0.5
+    uni = after + 0.5
     uni /= uni.sum()
     log_noise = np.log(noise * uni)
-    seen, away = np.cumsum(n, dtype=float), np.cumsum(uni)
-    p = [rng.normal(0, 0.1, (size, dim)), rng.normal(0, 0.1, (size, dim)), np.log(uni)]
-    m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    for t in range(1, steps + 1 if len(n) else 1):
-        q, r, b = p
-        pair = np.minimum(np.searchsorted(seen, rng.random(BATCH) * seen[-1], "right"), len(n) - 1)
-        i, j = prev[pair], nxt[pair]
-        w = np.minimum(np.searchsorted(away, rng.random(DRAWN), "right"), size - 1)
-        qi, rj, rw = q[i], r[j], r[w]
-        up = (1 - sig((qi * rj).sum(1) + b[j] - log_noise[j])) / BATCH
-        down = sig(qi @ rw.T + b[w] - log_noise[w]) * (noise / (DRAWN * BATCH))
-        rows = np.concatenate([j, w])
-        grads = [
-            _sums(i, up[:, None] * rj - down @ rw, size),
-            _sums(rows, np.concatenate([up[:, None] * qi, -(down.T @ qi)]), size),
-            np.bincount(j, up, size) - np.bincount(w, down.sum(0), size),
-        ]
-        rate = 0.05 * (1 - t / (steps + 1))
-        for k, x in enumerate(grads):
-            m[k] = 0.9 * m[k] + 0.1 * x
-            v[k] = 0.99 * v[k] + 0.01 * x * x
-            p[k] = p[k] + rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-    q, r, b = p
-    out = np.empty((size, size), "float32")
-    for i in range(0, size, 256):  # batched products, normalised by row
-        s = q[i : i + 256] @ r.T + b
-        s -= s.max(1, keepdims=True)
-        out[i : i + 256] = s - np.log(np.exp(s).sum(1, keepdims=True))
-    return out
+    q = rng.normal(0, 0.1, (size, dim)) * (before > 0)[:, None]
+    first = np.concatenate([np.zeros((size, dim)), np.log(uni)[:, None]], 1)
+    r, one, none = first, np.ones((size, 1)), np.zeros(size)
+    small = lambda *arrays: [a.astype("float32") for a in arrays]
+    for _ in range(steps if before.sum() else 0):
+        r = _turn(nxt, _Side(r, first, *small(np.concatenate([q, one], 1), noise * uni, before, -log_noise, none)))
+        q = _turn(prev, _Side(q, np.zeros_like(q), *small(r[:, :dim], noise * before, uni, none, r[:, dim] - log_noise)))
+    norm = np.empty((size, 1))
+    rows = max(1, CELLS // size)
+    for i in range(0, size, rows):  # batched products, normalised by row
+        s = q[i : i + rows] @ r[:, :dim].T + r[:, dim]
+        top = s.max(1, keepdims=True)
+        norm[i : i + rows] = top + np.log(np.exp(s - top).sum(1, keepdims=True))
+    return Model(*small(np.concatenate([q, one, -norm], 1), np.concatenate([r, one], 1)))
 
 
 def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
@@ -258,15 +330,14 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     vocab = vocabulary(counts, head)
     size = vocab.symbols
     key = uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast(vocab)  # at most ``head`` tokens
-    logp = train(*pair_counts(train_docs, shared, key, size), size)
-    model = spark.sparkContext.broadcast(logp)  # of fixed size
+    shared = spark.sparkContext.broadcast(vocab)  # at most ``head`` tokens, or twice the symbols
+    model = spark.sparkContext.broadcast(train(*pair_counts(train_docs, shared, key, size), vocab.totals(), size))  # two vectors a symbol
     n, v = vocab.n, vocab.v
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         look = _lookup(key, shared)
-        voc, flat = shared.value, model.value.ravel()
+        voc, logp = shared.value, model.value
         f = look.frequent
         base = np.log10((voc.counts + 0.5) / (n + 0.5 * (v + 1)))
         within = -np.log10(voc.class_n + 0.5 * (voc.class_v + 1))
@@ -274,14 +345,14 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
         for w, i in voc.head.items():
             if i >= f:
                 own[i] = math.log10(voc.counts[i] + 0.5) + within[word_class(w)]
-        end = look([END])[0] & 0xFFFF
+        end = look([END])[0] & SYMBOL
         for b in batches:
             out = []
             for uid, doc, held, text in zip(b["uid"], b["doc_id"], b["held_out"], b["text"], strict=True):
                 words = tokens(text)
                 code = look(words)
-                sym, place = code & 0xFFFF, code >> 16
-                lm = float(flat[np.concatenate(([end], sym[:-1])) * size + sym].sum(dtype=float)) / LN10
+                sym, place = code & SYMBOL, code >> 32
+                lm = logp.total(np.concatenate(([end], sym[:-1])), sym) / LN10
                 known = place >= 0
                 at = place[known]
                 rest = Counter(words[i] for i in np.flatnonzero(~known)) if not known.all() else {}

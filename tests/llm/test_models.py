@@ -390,3 +390,40 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch, documents):
                 total += math.log10((c[w] + 0.5) / (n[lm.word_class(w)] + 0.5 * (v[lm.word_class(w)] + 1)))
             before = sym(w)
         assert got[i, len(lm.tokens(t))] == pytest.approx(total, rel=1e-5)
+
+
+def test_lm_common_tokens_grow_with_the_corpus():
+    assert [lm.frequent(n) for n in (0, 10**6, 10**8, 10**10)] == [1000, 1000, 10_000, 100_000]
+
+
+def test_lm_learns_from_every_pair():
+    """Pairs that are too rare to be drawn among a billion others."""
+    prev, nxt = np.arange(11), np.arange(11) + np.where(np.arange(11) > 0, 20, 0)
+    logp = lm.train(prev, nxt, np.where(prev > 0, 400, 10**9), 40).astype(float)
+    assert np.exp(logp).sum(1) == pytest.approx(np.ones(40), abs=1e-4)
+    assert logp.argmax(1)[:11].tolist() == nxt.tolist()
+    assert (logp[prev, nxt] > math.log(0.05)).all()
+
+
+def test_lm_pairs_and_training_on_tables_equal_arrays(spark, monkeypatch, documents):
+    d = documents.select("doc_id", "text").limit(50).unionByName(spark.createDataFrame([(90_001, None), (90_002, "the the")], "doc_id long, text string"))
+    monkeypatch.setattr(lm, "TOKENS", 500)  # several counts a task
+    monkeypatch.setattr(lm, "LEAST", 70)
+    monkeypatch.setattr(lm, "MOST", 70)
+    vocab = lm.vocabulary(lm.token_counts(d))
+    size = vocab.symbols
+    assert size == 70 + lm.CLASSES
+    by_prev, by_next = lm.pair_counts(d, spark.sparkContext.broadcast(vocab), "tables", size)
+    sym = lambda w: i if (i := vocab.head[w]) < 70 else 70 + lm.word_class(w)
+    want = Counter()
+    for r in d.select("text").collect():
+        s = [sym(w) for w in (lm.END, *lm.tokens(r.text))]
+        want.update(zip(s, s[1:], strict=False))
+    for rows, flip in ((by_prev, False), (by_next, True)):
+        got = [((p % size, r.symbol) if flip else (r.symbol, p % size), p // size) for r in rows.collect() for p in r.packed]
+        assert len(got) == len(want) and dict(got) == want
+    prev, nxt = np.array(list(want)).T
+    n = np.array(list(want.values()))
+    assert vocab.totals().tolist() == np.bincount(nxt, n, size).tolist() == np.bincount(prev, n, size).tolist()
+    tables = lm.train(by_prev, by_next, vocab.totals(), size, steps=3).astype(float)
+    assert tables == pytest.approx(lm.train(prev, nxt, n, size, steps=3).astype(float), abs=1e-3)
