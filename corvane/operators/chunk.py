@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, UnalignedSpan
+from ..plans.hints import small_batches
 from ..registry import REGISTRY
 
 
@@ -200,6 +201,7 @@ def chunk(docs: DataFrame, name: str = "fixed", config: dict | None = None, id_c
     no chunks. ``parent`` is the ordinal of a chunk of the same document.
     """
     chunker = REGISTRY.build("chunker", name, config)
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
     plain = F.octet_length("__text") == F.length("__text")
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DimensionMismatch
+from ..plans.hints import small_batches
 from ..registry import REGISTRY
 from ..storage import stored
 from .bm25 import top
@@ -63,7 +64,7 @@ def _matrix(rows: list, dim: int) -> np.ndarray:
     return np.stack(rows).astype(float) if len(rows) else np.zeros((0, dim))
 
 
-def _best(held, ids: np.ndarray, scores: np.ndarray, k: int):
+def best(held, ids: np.ndarray, scores: np.ndarray, k: int):
     """query, id and score of the ``k`` best of each query, from those held and a chunk with sorted ids."""
     if k <= 0:
         return None
@@ -85,6 +86,7 @@ def _best(held, ids: np.ndarray, scores: np.ndarray, k: int):
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", vec: str = "embedding", qid: str = "qid", exclude_self: bool = False) -> DataFrame:
     """qid, rank, doc_id, score of each query's best ``k`` vectors, by rounded score and then id."""
     spark = vectors.sparkSession
+    small_batches(spark)
     q = queries.select(F.col(qid).alias("qid"), F.col(vec).alias("v"))
     out = None
     id_type, q_type = dict(vectors.dtypes)[id_col], dict(q.dtypes)["qid"]
@@ -103,7 +105,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
         def run(batches: Iterator[pd.DataFrame], shared=shared, dim=dim) -> Iterator[pd.DataFrame]:
             ids, mat = shared.value
             place = {x: i for i, x in enumerate(ids)}
-            best = None  # query, id, score of the best k of each query so far
+            kept = None  # query, id, score of the best k of each query so far
             for b in batches:
                 for at in range(0, len(b), CHUNK):
                     c = b.iloc[at : at + CHUNK]
@@ -118,9 +120,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
                         for j, x in enumerate(own):
                             if x in place:
                                 s[place[x], j] = -np.inf
-                    best = _best(best, own, s, k)
-            if best is not None:
-                q, d, score = best
+                    kept = best(kept, own, s, k)
+            if kept is not None:
+                q, d, score = kept
                 yield pd.DataFrame({"qid": np.array(ids, object)[q], "doc_id": d, "score": score})
 
         if len(block) == BLOCK and out is None:
@@ -129,7 +131,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], f"qid {q_type}, doc_id {id_type}, score double")
-    return top(out, k)
+    return stored(top(out, k), "hits")  # read more than once by most
 
 
 def cosine(a: Column, b: Column) -> Column:
