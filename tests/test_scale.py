@@ -1,8 +1,15 @@
 """What a step shuffles, and what a worker holds, must not grow with pairs of queries and documents."""
 
 import time
+import tracemalloc
+import uuid
 
+import numpy as np
+import pytest
+
+from corvane.functions import hashing, tokenize
 from corvane.operators import bm25, chunk
+from corvane.plans import catalog, hints, systems, task
 
 
 def written(spark, run):
@@ -54,3 +61,27 @@ def test_chunk_search_shuffles_no_pairs(spark):
 
     small, large = (written(spark, lambda n=n: run(n)) for n in (500, 5000))
     assert large < small + 100_000
+
+
+def counting(path):
+    """An encoder that notes how many texts it embeds."""
+
+    class Counting:
+        def embed_many(self, texts):
+            (path / uuid.uuid4().hex).write_text(str(len(texts)))
+            return [[len(t or "") % 7 + 1.0, len(t or "") % 5, 1.0] for t in texts]
+
+    return ("hashing", None, "text", "embedding", Counting()), lambda: sum(int(p.read_text()) for p in path.iterdir())
+
+
+def labelled(spark, n, q):
+    d = corpus(spark, n).selectExpr("string(doc_id) AS doc_id", "text", "string(null) AS title", "map('a', 'b') AS meta")
+    return task.Task("t", d, questions(spark, q).selectExpr("string(qid) AS qid", "text"))
+
+
+@pytest.mark.parametrize(("name", "times"), [("identity", 1)])
+def test_rewriting_embeds_each_document_once(spark, tmp_path, name, times):
+    encoder, embedded = counting(tmp_path)
+    t = labelled(spark, 60, 4)
+    assert systems.query_rewrite(name=name, encoder=encoder).answer(t, t.queries).count() == 4
+    assert embedded() == 60 + 4 * times
