@@ -85,3 +85,11 @@ def test_rewriting_embeds_each_document_once(spark, tmp_path, name, times):
     t = labelled(spark, 60, 4)
     assert systems.query_rewrite(name=name, encoder=encoder).answer(t, t.queries).count() == 4
     assert embedded() == 60 + 4 * times
+
+
+@pytest.mark.parametrize("make", [systems.hybrid_rrf])
+def test_systems_embed_each_text_once(spark, tmp_path, make):
+    encoder, embedded = counting(tmp_path)
+    t = labelled(spark, 60, 4)
+    assert make(encoder=encoder).answer(t, t.queries).count() == 4
+    assert embedded() == 64
