@@ -12,9 +12,10 @@ from ..functions import tokenize
 from ..operators import bm25, chunk, dense, embed, fuse, judge, metrics, transform
 from ..registry import catalogue
 from ..sources import readers
+from ..storage import stored
 from ..streaming import resume
 from . import runner, systems
-from .hints import spread
+from .hints import small, spread
 from .task import Task, from_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,7 +221,8 @@ def rrf_fuse(spark, d):
 
 def _short(spark, d, k=10):
     t, q = docs(spark, d), items(spark, d)
-    return bm25.search(t, q, k).join(t, "doc_id").join(q.select("qid", F.col("text").alias("query")), "qid")
+    s = small(bm25.search(t, q, k)).join(t, "doc_id").join(q.select("qid", F.col("text").alias("query")), "qid")
+    return stored(s, "shortlist")  # k texts for each query, read more than once
 
 
 @query(
@@ -283,7 +285,11 @@ OTHER = {"k1": 0.9, "b": 0.4}
 
 def _runs(spark, d, *configs):
     runs = bm25.search_configs(docs(spark, d), items(spark, d), 10, list(configs) or [None])
-    return _task(spark, d), *[metrics.ranked_lists(r.withColumn("qid", F.col("qid").cast("string"))) for r in runs]
+    return [metrics.ranked_lists(r.withColumn("qid", F.col("qid").cast("string"))) for r in runs]
+
+
+def _qrels(spark, d):
+    return stored(_task(spark, d).qrels(), "qrels")
 
 
 _GOLD = """gold AS (SELECT item_id AS qid, doc_id, count(*) OVER (PARTITION BY item_id) AS ng FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
@@ -305,14 +311,14 @@ pq AS (SELECT qid, 'recall@1' AS metric, h1 * 1.0 / ng AS value FROM m UNION ALL
 
 @query("metrics_per_query", f"WITH {_index_sql()}, {_search_sql('r', 10)}, {_metrics_sql('r')} SELECT qid::VARCHAR AS qid, metric, round(value, 6) AS value FROM pq")
 def metrics_per_query(spark, d):
-    t, r = _runs(spark, d)
-    return metrics.per_query(r, t.qrels()).withColumn("value", F.round("value", 6))
+    (r,) = _runs(spark, d)
+    return metrics.per_query(r, _qrels(spark, d)).withColumn("value", F.round("value", 6))
 
 
 @query("metrics_aggregate", f"WITH {_index_sql()}, {_search_sql('r', 10)}, {_metrics_sql('r')} SELECT metric, round(avg(value), 6) AS value, count(*) AS n FROM pq GROUP BY metric")
 def metrics_aggregate(spark, d):
-    t, r = _runs(spark, d)
-    a = metrics.aggregate(metrics.per_query(r, t.qrels()))
+    (r,) = _runs(spark, d)
+    a = metrics.aggregate(metrics.per_query(r, _qrels(spark, d)))
     return a.select("metric", F.round("value", 6).alias("value"), "n")
 
 
@@ -381,8 +387,8 @@ SELECT metric, count(*) AS n, round(avg(pq.value), 6) AS mean_a, round(avg(pq_b.
 FROM pq JOIN pq_b USING (qid, metric) GROUP BY metric""",
 )
 def compare_runs(spark, d):
-    t, a, b = _runs(spark, d, None, OTHER)
-    x = metrics.differences(metrics.per_query(a, t.qrels()), metrics.per_query(b, t.qrels()))
+    (a, b), gold = _runs(spark, d, None, OTHER), _qrels(spark, d)
+    x = metrics.differences(metrics.per_query(a, gold), metrics.per_query(b, gold))
     return x.select("metric", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean_a", "mean_b", "diff")])
 
 
@@ -394,14 +400,14 @@ SELECT count(*) AS n, count(*) FILTER (xs = ys) AS identical, count(*) FILTER (x
   round(avg(len(list_intersect(xs, ys)) * 1.0 / greatest(len(xs), len(ys), 1)), 6) AS overlap FROM x JOIN y USING (qid)""",
 )
 def run_agreement(spark, d):
-    _, a, b = _runs(spark, d, None, OTHER)
+    a, b = _runs(spark, d, None, OTHER)
     return metrics.agreement(a, b).withColumn("overlap", F.round("overlap", 6))
 
 
 @query("randomization_p_value")
 def randomization_p_value(spark, d):
-    t, a, b = _runs(spark, d, None, OTHER)
-    per = [metrics.per_query(x, t.qrels()).where("metric = 'ndcg@10'").select("qid", "value") for x in (a, b)]
+    (a, b), gold = _runs(spark, d, None, OTHER), _qrels(spark, d)
+    per = [metrics.per_query(x, gold).where("metric = 'ndcg@10'").select("qid", "value") for x in (a, b)]
     return metrics.randomization_test_distributed(*per)
 
 

@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hints import small
+from ..storage import stored
+from .hints import MAX_ROWS, small
 
 DOCS = "doc_id string, text string, title string, meta map<string,string>"
 QUERIES = "qid string, text string, gold array<string>, answer string, answerable boolean, scope string, meta map<string,string>"
@@ -55,9 +56,14 @@ def _with_gold(d: DataFrame, q: DataFrame) -> DataFrame:
     long = q.where(F.size(inner) >= n + 2).select("qid", "qtext", key.alias("k"))
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, n), " ")))
-    dk = d.withColumn("w", w).select("doc_id", F.explode_outer(F.array_distinct(keys)).alias("k"))
-    pairs = dk.join(small(long), "k").select("doc_id", "qid", "qtext").distinct()
-    hit = pairs.join(d, "doc_id").where(F.contains("text", F.col("qtext"))).select("qid", "doc_id")
+    keyed = d.withColumn("w", w).select("doc_id", "text", F.explode_outer(F.array_distinct(keys)).alias("k"))
+    holds = F.contains("text", F.col("qtext"))
+    if long.limit(MAX_ROWS + 1).count() <= MAX_ROWS:
+        # a text stays with its windows up to the comparison, so that none is shuffled
+        hit = keyed.join(F.broadcast(long), "k").where(holds).select("qid", "doc_id")
+    else:
+        pairs = stored(keyed.select("doc_id", "k").join(long, "k").select("doc_id", "qid", "qtext").distinct(), "pairs")
+        hit = small(pairs).join(d, "doc_id").where(holds).select("qid", "doc_id")
     short = q.where(F.size(inner) < n + 2)
     if not short.isEmpty():
         hit = hit.unionByName(d.join(small(short), F.contains(d["text"], F.col("qtext"))).select("qid", "doc_id"))

@@ -93,3 +93,36 @@ def test_systems_embed_each_text_once(spark, tmp_path, make):
     t = labelled(spark, 60, 4)
     assert make(encoder=encoder).answer(t, t.queries).count() == 4
     assert embedded() == 64
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Two folders, the second with ten times the documents of the first."""
+    out = []
+    for n in (300, 3000):
+        p = str(tmp_path_factory.mktemp(f"t{n}"))
+        corpus(spark, n, 12).repartition(4).write.parquet(f"{p}/documents.parquet")
+        questions(spark, 40, 12).withColumnRenamed("qid", "item_id").write.parquet(f"{p}/benchmark.parquet")
+        out.append(p)
+    return out
+
+
+#: Queries whose shuffles may hold the queries' hits, and nothing of a pair of a query and a document.
+BOUNDED = [
+    "compare_runs",
+]
+
+
+@pytest.mark.parametrize("name", BOUNDED)
+def test_query_shuffles_no_pairs(spark, tables, monkeypatch, name):
+    monkeypatch.setattr(catalog, "spread", lambda d: d)  # dealing a small table to all cores counts its texts
+    small, large = (written(spark, lambda p=p: catalog.QUERIES[name](spark, p).collect()) for p in tables)
+    assert large < small + 60_000
+
+
+def test_gold_of_many_items_is_the_same(spark, tables, monkeypatch):
+    gold = lambda: sorted((r.qid, r.gold) for r in catalog._task(spark, tables[0]).qrels().collect())
+    want = gold()
+    assert dict(want)["3"] == sorted(str(i) for i in range(300) if str(i).startswith("3"))
+    monkeypatch.setattr(task, "MAX_ROWS", 3)
+    assert gold() == want
