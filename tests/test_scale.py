@@ -87,7 +87,7 @@ def test_rewriting_embeds_each_document_once(spark, tmp_path, name, times):
     assert embedded() == 60 + 4 * times
 
 
-@pytest.mark.parametrize("make", [systems.hybrid_rrf])
+@pytest.mark.parametrize("make", [systems.hybrid_rrf, systems.sure])
 def test_systems_embed_each_text_once(spark, tmp_path, make):
     encoder, embedded = counting(tmp_path)
     t = labelled(spark, 60, 4)
@@ -95,6 +95,27 @@ def test_systems_embed_each_text_once(spark, tmp_path, make):
     assert embedded() == 64
 
 
+def test_shortlists_shuffle_no_documents(spark):
+    small, large = (written(spark, lambda t=labelled(spark, n, 4): systems._shortlist(t, t.queries, 5, systems.ENCODER).collect()) for n in (300, 6000))
+    assert large < small + 100_000
+
+
+def test_a_long_token_does_not_widen_all_others():
+    split = tokenize.build("simple").split
+    e = hashing.HashingEmbedder(hashing.HashingConfig(dim=64), split)
+    texts = [" ".join(f"word{i}x{j}" for j in range(100)) for i in range(100)] + ["z" * 20_000]
+    tracemalloc.start()
+    got = e.embed_many(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # a table of all features as wide as the longest would take 4 GB
+    h = np.zeros(64)
+    for part in ["z" * 20_000] + [b for n in (3, 4, 5) for w in ["<" + "z" * 20_000 + ">"] for b in (w[i : i + n] for i in range(len(w) - n + 1))]:
+        x = hashing.fnv1a(part.encode())
+        h[x % 64] += -1 if x >> 63 else 1
+    assert np.allclose(got[-1], h / np.sqrt(h @ h))
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """Two folders, the second with ten times the documents of the first."""
