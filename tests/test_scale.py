@@ -87,7 +87,7 @@ def test_rewriting_embeds_each_document_once(spark, tmp_path, name, times):
     assert embedded() == 60 + 4 * times
 
 
-@pytest.mark.parametrize("make", [systems.hybrid_rrf, systems.sure])
+@pytest.mark.parametrize("make", [systems.hybrid_rrf, systems.reranked, systems.sure])
 def test_systems_embed_each_text_once(spark, tmp_path, make):
     encoder, embedded = counting(tmp_path)
     t = labelled(spark, 60, 4)
