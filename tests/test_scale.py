@@ -131,6 +131,7 @@ def tables(spark, tmp_path_factory):
 #: Queries whose shuffles may hold the queries' hits, and nothing of a pair of a query and a document.
 BOUNDED = [
     "compare_runs",
+    "randomization_p_value",
 ]
 
 
