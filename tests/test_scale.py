@@ -132,6 +132,7 @@ def tables(spark, tmp_path_factory):
 BOUNDED = [
     "compare_runs",
     "randomization_p_value",
+    "rrf_fuse",
 ]
 
 
