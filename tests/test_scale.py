@@ -133,6 +133,7 @@ BOUNDED = [
     "compare_runs",
     "randomization_p_value",
     "rrf_fuse",
+    "run_agreement",
 ]
 
 
