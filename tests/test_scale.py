@@ -134,6 +134,7 @@ BOUNDED = [
     "randomization_p_value",
     "rrf_fuse",
     "run_agreement",
+    "bm25_topk_k1b",
 ]
 
 
