@@ -135,6 +135,7 @@ BOUNDED = [
     "rrf_fuse",
     "run_agreement",
     "bm25_topk_k1b",
+    "rerank_lexical",
 ]
 
 
