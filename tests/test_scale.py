@@ -136,6 +136,7 @@ BOUNDED = [
     "run_agreement",
     "bm25_topk_k1b",
     "rerank_lexical",
+    "rm3_expand",
 ]
 
 
