@@ -137,6 +137,7 @@ BOUNDED = [
     "bm25_topk_k1b",
     "rerank_lexical",
     "rm3_expand",
+    "verify_coverage",
 ]
 
 
