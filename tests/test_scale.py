@@ -79,7 +79,7 @@ def labelled(spark, n, q):
     return task.Task("t", d, questions(spark, q).selectExpr("string(qid) AS qid", "text"))
 
 
-@pytest.mark.parametrize(("name", "times"), [("identity", 1)])
+@pytest.mark.parametrize(("name", "times"), [("identity", 1), ("rm3", 2)])
 def test_rewriting_embeds_each_document_once(spark, tmp_path, name, times):
     encoder, embedded = counting(tmp_path)
     t = labelled(spark, 60, 4)
