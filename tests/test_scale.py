@@ -138,6 +138,7 @@ BOUNDED = [
     "rerank_lexical",
     "rm3_expand",
     "verify_coverage",
+    "bm25_topk",
 ]
 
 
