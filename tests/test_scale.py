@@ -139,6 +139,7 @@ BOUNDED = [
     "rm3_expand",
     "verify_coverage",
     "bm25_topk",
+    "system_bm25",
 ]
 
 
