@@ -15,7 +15,7 @@ from ..sources import readers
 from ..storage import stored
 from ..streaming import resume
 from . import runner, systems
-from .hints import small, spread
+from .hints import small, small_batches, spread
 from .task import Task, from_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -469,6 +469,7 @@ def html_text(spark, d):
     def plain(s):
         return s.map(lambda t: readers.html_text(t or ""))
 
+    small_batches(spark)
     return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", plain("html").alias("text"))
 
 

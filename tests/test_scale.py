@@ -150,7 +150,7 @@ def test_query_shuffles_no_pairs(spark, tables, monkeypatch, name):
     assert large < small + 60_000
 
 
-@pytest.mark.parametrize("name", ["unicode_tokens"])
+@pytest.mark.parametrize("name", ["unicode_tokens", "chunk_markdown"])
 def test_batches_of_texts_are_bounded(spark, tmp_path, name):
     corpus(spark, 50).write.parquet(str(tmp_path / "documents.parquet"))
     corpus(spark, 50).selectExpr("doc_id AS page_id", "text AS html").write.parquet(str(tmp_path / "pages.parquet"))
