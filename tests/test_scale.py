@@ -116,6 +116,19 @@ def test_a_long_token_does_not_widen_all_others():
     assert np.allclose(got[-1], h / np.sqrt(h @ h))
 
 
+def test_signs_of_all_widths_are_hashed_by_their_bytes():
+    e = hashing.HashingEmbedder(hashing.HashingConfig(dim=32, ngrams=(2,), token_weight=0.5), lambda t: t.split(), keep=2)
+    texts = ["aé中𝒳 ΣΑΣ aé中𝒳", "x", None]
+    for text, got in zip(texts, e.embed_many(texts), strict=True):
+        h = np.zeros(32)
+        for token in (text or "").split():
+            low = "".join(c.lower() for c in token)
+            for part, weight in [(low, 0.5)] + [(f"<{low}>"[i : i + 2], 1.0) for i in range(len(low) + 1)]:
+                x = hashing.fnv1a(part.encode())
+                h[x % 32] += -weight if x >> 63 else weight
+        assert np.allclose(got, h / (np.sqrt(h @ h) or 1.0))
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """Two folders, the second with ten times the documents of the first."""
