@@ -153,6 +153,7 @@ BOUNDED = [
     "verify_coverage",
     "bm25_topk",
     "system_bm25",
+    "metrics_per_query",
 ]
 
 
