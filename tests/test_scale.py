@@ -154,6 +154,7 @@ BOUNDED = [
     "bm25_topk",
     "system_bm25",
     "metrics_per_query",
+    "metrics_aggregate",
 ]
 
 
